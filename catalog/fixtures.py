@@ -39,31 +39,32 @@ fx_base as (
          min_by(event_type, event_id) as first_type, max_by(event_type, event_id) as last_type
   from events group by user_id, cast(floor((day(ts) - 1) / 7) as int))"""
 
+# Ward of a patient by number: `moved` 0 is the ward of the stay itself, 1 the ward
+# of a transfer.
 _WARDKEY = """
 fx_wardkey as (
-  select * from (values (0,'CH1'),(1,'CH3'),(2,'IM1'),(3,'IM2'),(4,'GB2'),(5,'IN1'),(6,'ZZ9'),
-    (7,cast(null as string))) as t(k, w))"""
+  select * from (values (0,0,'CH1'),(1,0,'CH3'),(2,0,'IM1'),(3,0,'IM2'),(4,0,'GB2'),(5,0,'IN1'),
+    (6,0,'ZZ9'),(7,0,cast(null as string)),(0,1,'CH3'),(1,1,'IM1'),(2,1,'IM2'),(3,1,'GB2'),
+    (4,1,'IN1'),(5,1,'ZZ9'),(6,1,cast(null as string)),(7,1,'CH1')) as t(k, moved, w))"""
 
-# The second branch is a transfer that overlaps the last day of the first stay.
+# A transfer overlaps the last day of the first stay.
 _STAYS = """
 fx_stays as (
   select cast(user_id as string) as pid,
          'F' || cast(user_id as string) || '-' || cast(wk as string) as case_id,
          w as ward,
-         case when wk = 0 and first_type = 'error' then t0 - interval 10 days
+         case when moved = 1 then t1
+              when wk = 0 and first_type = 'error' then t0 - interval 10 days
               when wk = 1 and first_type = 'view' and last_type = 'view' then t1
               else t0 end as begin_ts,
-         case when wk = 4 and last_type = 'signup' then null
+         case when moved = 1 then t1 + interval 1 day
+              when wk = 4 and last_type = 'signup' then null
               when wk = 4 and last_type = 'click' then t1 + interval 4 days
               when wk = 1 and first_type = 'view' and last_type = 'view' then t0
               else t1 end as end_ts,
-         user_id * 100 + wk * 10 as ord
+         user_id * 100 + wk * 10 + moved as ord
   from fx_base join fx_wardkey on k = user_id % 8
-  union all
-  select cast(user_id as string), 'F' || cast(user_id as string) || '-' || cast(wk as string),
-         w, t1, t1 + interval 1 day, user_id * 100 + wk * 10 + 1
-  from fx_base join fx_wardkey on k = (user_id + 1) % 8
-  where last_type = 'purchase')"""
+  where moved = 0 or last_type = 'purchase')"""
 
 _NEWBORNS = """
 fx_newborns as (

@@ -33,18 +33,22 @@ def measure_stays(spans: DataFrame, settings: Settings) -> StaySizes:
     """Counts large cases and wards in valid stays.
 
     A case has at most one patient-day per stay and calendar day, so the sum of
-    stay lengths bounds its size from above.
+    stay lengths bounds its size from above. Both counts come from one scan.
     """
-    lengths = spans.groupBy("case_key").agg(
-        F.sum(F.date_diff("end_day", "begin_day") + 1).alias("days")
+    days = F.sum(F.date_diff("end_day", "begin_day") + 1).alias("days")
+    is_case = F.grouping("case_key") == 0
+    groups = spans.groupingSets([["case_key"], ["ward"]], "case_key", "ward").agg(
+        days, is_case.alias("is_case")
     )
-    hot = lengths.filter(F.col("days") > settings.max_case_days).select("case_key")
-    found = (
-        spans.agg(F.approx_count_distinct("ward").alias("wards"))
-        .withColumn("hot", hot.agg(F.count(F.lit(1)).alias("n")).scalar())
-        .first()
-    )
-    return StaySizes(hot if found["hot"] else None, found["hot"], found["wards"])
+    is_hot = F.col("is_case") & (F.col("days") > settings.max_case_days)
+    found = groups.agg(
+        F.count_if(is_hot).alias("hot"), F.count_if(~F.col("is_case")).alias("wards")
+    ).first()
+    hot = None
+    if found["hot"]:
+        lengths = spans.groupBy("case_key").agg(days)
+        hot = lengths.filter(F.col("days") > settings.max_case_days).select("case_key")
+    return StaySizes(hot, found["hot"], found["wards"])
 
 
 def _order_block(df: DataFrame, order: str):

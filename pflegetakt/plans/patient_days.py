@@ -169,15 +169,16 @@ def rate_days(filled: DataFrame, controls: DataFrame, settings: Settings) -> Dat
 def impute_ward_mean(rated: DataFrame, sizes: StaySizes, settings: Settings) -> DataFrame:
     """Minutes still missing become the mean of the (unmerged) ward.
 
-    The means need a pass of their own over the rated days. They are first summed
-    by ward *and* isolation flag, so that pass reads the same columns as the main
-    one and Spark reuses its shuffle instead of joining twice.
+    The means need a pass of their own over the rated days. Isolated and other
+    days are summed apart, so that pass reads the same columns as the main one and
+    Spark reuses its shuffle instead of joining twice.
     """
-    means = (
-        rated.groupBy(F.col("ward").alias("mean_ward"), "iso")
-        .agg(F.sum("wert").alias("total"), F.count("wert").alias("known"))
-        .groupBy("mean_ward")
-        .agg(F.try_divide(F.sum("total"), F.sum("known")).alias("mean_wert"))
+    isolated = F.when(F.col("iso") == 1, F.col("wert"))
+    other = F.when(F.col("iso") == 0, F.col("wert"))
+    total = F.coalesce(F.sum(isolated), F.lit(0.0)) + F.coalesce(F.sum(other), F.lit(0.0))
+    known = F.count(isolated) + F.count(other)
+    means = rated.groupBy(F.col("ward").alias("mean_ward")).agg(
+        F.try_divide(total, known).alias("mean_wert")
     )
     if sizes.wards <= settings.max_broadcast_wards:
         means = F.broadcast(means)
