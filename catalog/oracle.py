@@ -201,6 +201,10 @@ ORACLE: dict[str, str] = {
         select 'category' as part, pid, datum, tag, code, cls_ord as ord from own
         union all
         select 'isolation' as part, pid, datum, tag, 'A5_ISO' as code, iso_ord as ord from marks"""),
+    "split_isolation_by_day": _sql("""
+        select pid, tag, code, ord from (
+          select *, row_number() over (partition by pid, tag, code = 'A5_ISO' order by ord desc) as rn
+          from matched where code is not null) where rn = 1"""),
     "preview_topn": """
         select event_id, user_id, event_type, value from events order by event_id limit 6""",
     "parse_datetime_multi": """
@@ -246,6 +250,11 @@ ORACLE: dict[str, str] = {
     "rate_lookup": _sql(f"select {_DAY_KEYS}, code, wert_rate as wert from rated"),
     "base_value": _sql(f"select {_DAY_KEYS}, iso, pflegegrundwert from rated"),
     "impute_ward_mean": _sql(f"select {_DAY_KEYS}, code, imputed, {_r('wert', 'wert')} from imputed"),
+    "stay_checks": _sql("""
+        select count(*) filter (end_day >= begin_day) as counted, count(*) filter (end_day is null) as open,
+               count(*) filter (end_day < begin_day) as reversed
+        from (select cast(begin_ts as date) as begin_day, cast(end_ts as date) as end_day from fx_stays
+              where ward is not null and begin_ts >= timestamp '2024-01-01 00:00:00')"""),
     # Workload.
     "admission_discharge": _sql(f"""
         select {_DAY_KEYS}, aufnahmewert, {_r('entlasswert', 'entlasswert')}, {_r('gesamtwert', 'gesamtwert')}
@@ -308,6 +317,14 @@ ORACLE: dict[str, str] = {
                {_r('vk', 'Soll_Besetzung')}, ausfall1 as Ausfall1, ausfall2 as Ausfall2, ausfall3 as Ausfall3,
                {_r('leitung', 'Leitende_Pflege')}
         from report"""),
+    "monthly_report_by_year": _sql(f"""
+        select station2 as Station2, cast(jahr as integer) as Jahr, cast(monat as integer) as Monat, schicht as Schicht,
+               count(distinct tag) as Anzahl_Schichten,
+               {_r("case when count(vk) = count(*) then sum(vk) end / count(distinct tag)", 'Soll_Besetzung')}
+        from (select station2, year(tag) as jahr, month(tag) as monat, tag, 'Tag' as schicht, vk_tag as vk from ward_days
+              union all
+              select station2, year(tag), month(tag), tag, 'Nacht', vk_nacht from ward_days)
+        group by station2, jahr, monat, schicht"""),
     "ward_month_total": _sql(f"""
         select station2 as Station2, cast(monat as integer) as Monat,
                {_r("case when count(vk) = count(*) then sum(vk) + sum(leitung) end", 'VK_ges')},

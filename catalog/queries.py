@@ -141,6 +141,19 @@ def split_isolation(spark, sf_dir):
     )
 
 
+@register
+def split_isolation_by_day(spark, sf_dir):
+    """De-duplicated by the parsed day instead of its text."""
+    categories, isolation = patient_days.split_isolation(
+        fixture(spark, sf_dir, "fx_cls"), Settings(dedupe_by_text=False)
+    )
+    categories = categories.select("pid", "tag", "code", F.col("cls_ord").alias("ord"))
+    marks = isolation.select(
+        "pid", "tag", F.lit(Settings().isolation_code).alias("code"), F.col("iso_ord").alias("ord")
+    )
+    return categories.unionByName(marks)
+
+
 @register
 def preview_topn(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
@@ -277,6 +290,11 @@ def impute_ward_mean(spark, sf_dir):
     return rounded(days.select(*DAY_KEYS, "code", "imputed", "wert"), "wert")
 
 
+@register
+def stay_checks(spark, sf_dir):
+    return patient_days.stay_checks(fixture(spark, sf_dir, "fx_stays"), Settings())
+
+
 # Workload
 
 
@@ -390,6 +408,14 @@ def monthly_report(spark, sf_dir):
     return _rounded_report(staffing(spark, sf_dir).monthly_report())
 
 
+@register
+def monthly_report_by_year(spark, sf_dir):
+    """Months of different years kept apart."""
+    run = Staffing(load_inputs(spark, sf_dir), Settings(by_year=True))
+    names = ["Station2", "Jahr", "Monat", "Schicht", "Anzahl_Schichten", "Soll_Besetzung"]
+    return rounded(run.monthly_report().select(*names), "Soll_Besetzung")
+
+
 @register
 def ward_month_total(spark, sf_dir):
     return rounded(staffing(spark, sf_dir).ward_month_total(), "VK_ges", "mittlere_Belegung")

@@ -19,8 +19,10 @@ def _pivot(day: Column) -> Column:
 
 
 def parse_day(text: Column) -> Column:
-    """``d.m.yyyy`` or ``d.m.yy`` to a date; anything else is missing."""
-    text = F.trim(text)
+    """``d.m.yyyy`` or ``d.m.yy`` to a date; anything else is missing.
+
+    A day has at most eight texts: each part has two spellings.
+    """
     long_year = F.try_to_date(text, "d.M.yyyy")
     short_year = F.try_to_date(text, "d.M.yy")
     return F.when(text.rlike(f"^{_DAY}\\d{{4}}$"), long_year).when(
@@ -33,14 +35,12 @@ def parse_moment_day(text: Column) -> Column:
 
     The clock must be there and be valid, but only the date is kept.
     """
-    text = F.trim(text)
     shaped = text.rlike(f"^{_DAY}(\\d{{2}}|\\d{{4}}) +{_CLOCK}$")
     return F.when(shaped, parse_day(F.split_part(text, F.lit(" "), F.lit(1))))
 
 
 def parse_clock(text: Column) -> Column:
     """``H:M:S`` or ``H:M`` to ``HH:mm:ss`` text; anything else is missing."""
-    text = F.trim(text)
     full = F.when(text.rlike(r"^\d{1,2}:\d{1,2}:\d{1,2}$"), text).when(
         text.rlike(r"^\d{1,2}:\d{1,2}$"), F.concat(text, F.lit(":0"))
     )

@@ -138,7 +138,10 @@ def classified_days(last: DataFrame) -> DataFrame:
 
 def attach_classifications(master: DataFrame, classified: DataFrame) -> DataFrame:
     """Patient-days with their category, if any, and the isolation flag."""
-    return master.join(classified, ["pid_key", "tag"], "left").fillna({"iso": 0})
+    kept = [name for name in classified.columns if name not in ("pid_key", "tag", "iso")]
+    return master.join(classified, ["pid_key", "tag"], "left").select(
+        *master.columns, *kept, F.coalesce("iso", F.lit(0)).alias("iso")
+    )
 
 
 # Imputation
@@ -146,11 +149,12 @@ def attach_classifications(master: DataFrame, classified: DataFrame) -> DataFram
 
 def fill_categories(days: DataFrame, by: CaseOrder) -> DataFrame:
     """Missing categories from the next known one of the case, else the previous."""
-    return (
-        neighbours_and_bounds(days, "code", "tag", by)
-        .withColumnRenamed("code", "code_own")
-        .withColumn("code", F.coalesce("next_known", "prev_known"))
-        .drop("next_known", "prev_known")
+    scanned = neighbours_and_bounds(days, "code", "tag", by)
+    kept = [name for name in scanned.columns if name not in ("code", "next_known", "prev_known")]
+    return scanned.select(
+        *kept,
+        F.col("code").alias("code_own"),
+        F.coalesce("next_known", "prev_known").alias("code"),
     )
 
 
@@ -182,8 +186,17 @@ def impute_ward_mean(rated: DataFrame, sizes: StaySizes, settings: Settings) ->
     )
     if sizes.wards <= settings.max_broadcast_wards:
         means = F.broadcast(means)
-    return (
-        rated.join(means, F.col("ward").eqNullSafe(F.col("mean_ward")), "left")
-        .withColumn("wert", F.coalesce("wert", "mean_wert"))
-        .drop("mean_ward", "mean_wert")
+    kept = [name for name in rated.columns if name != "wert"]
+    return rated.join(means, F.col("ward").eqNullSafe(F.col("mean_ward")), "left").select(
+        *kept, F.coalesce("wert", "mean_wert").alias("wert")
+    )
+
+
+def stay_checks(stays: DataFrame, settings: Settings) -> DataFrame:
+    """How many admitted stays count, are still open, or end before they begin."""
+    begin, end = F.col("begin_day"), F.col("end_day")
+    return admitted_stays(stays, settings).agg(
+        F.count_if(begin <= end).alias("counted"),
+        F.count_if(end.isNull()).alias("open"),
+        F.count_if(begin > end).alias("reversed"),
     )

@@ -138,6 +138,20 @@ class Staffing:
     def missing_report(self, days: DataFrame | None = None) -> DataFrame:
         return reports.missing_report(self.ward_days if days is None else days, self.settings)
 
+    # Checks of the inputs
+
+    def stay_checks(self) -> DataFrame:
+        return patient_days.stay_checks(self.inputs.stays, self.settings)
+
+    def rejected_stays(self) -> DataFrame:
+        return patient_days.with_ids(
+            patient_days.rejected_stays(self.inputs.stays, self.settings)
+        )
+
+    def split_wards(self) -> DataFrame:
+        """Merged wards that multiply their ward-days."""
+        return ward_days.split_wards(self.master)
+
     # Older rules: no newborns, flag after filling, other weighting, night lookup
 
     @cached_property
