@@ -108,23 +108,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One hospital table as a lazy query over the test tables."""
+def _query(spark: SparkSession, name: str, sources: dict[str, DataFrame]) -> DataFrame:
     text = f"with {','.join(_NEEDS[name])} select * from {name}"
-    sources = {}
-    for source in ("events", "part"):
+    used = {}
+    for source, df in sources.items():
         if f"from {source}" in text:
             text = text.replace(f"from {source}", f"from {{{source}}}")
-            sources[source] = table(spark, sf_dir, source)
-    return spark.sql(text, **sources)
+            used[source] = df
+    return spark.sql(text, **used)
+
+
+def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One hospital table as a lazy query over the test tables."""
+    source = "part" if name == "fx_night" else "events"
+    return _query(spark, name, {source: table(spark, sf_dir, source)})
 
 
 def load_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
+    sources = {name: table(spark, sf_dir, name) for name in ("events", "part")}
     return Inputs(
-        stays=fixture(spark, sf_dir, "fx_stays"),
-        classifications=fixture(spark, sf_dir, "fx_cls").drop("tag"),
-        controls=fixture(spark, sf_dir, "fx_rates"),
-        wards=fixture(spark, sf_dir, "fx_wards"),
-        newborns=fixture(spark, sf_dir, "fx_newborns"),
-        night=fixture(spark, sf_dir, "fx_night"),
+        stays=_query(spark, "fx_stays", sources),
+        classifications=_query(spark, "fx_cls", sources).drop("tag"),
+        controls=_query(spark, "fx_rates", sources),
+        wards=_query(spark, "fx_wards", sources),
+        newborns=_query(spark, "fx_newborns", sources),
+        night=_query(spark, "fx_night", sources),
     )

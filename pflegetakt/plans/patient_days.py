@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pflegetakt.functions.dates import parse_day
 from pflegetakt.functions.missing import if_known, key_text, key_value
 from pflegetakt.operators.case_scan import CaseOrder, neighbours_and_bounds
-from pflegetakt.operators.lookups import control_scalars, rate_lookup
+from pflegetakt.operators.lookups import rate_lookup
 from pflegetakt.operators.rows import (
     expand_days,
     forward_spans,
@@ -158,9 +158,10 @@ def fill_categories(days: DataFrame, by: CaseOrder) -> DataFrame:
     )
 
 
-def rate_days(filled: DataFrame, controls: DataFrame, settings: Settings) -> DataFrame:
+def rate_days(
+    filled: DataFrame, controls: DataFrame, control: Mapping[str, Column]
+) -> DataFrame:
     """Adds minutes by category, the base value and the imputation flags."""
-    control = control_scalars(controls, settings.live_keys)
     return rate_lookup(filled, controls).withColumns(
         {
             "pflegegrundwert": if_known(F.col("iso") == 1, control["raised_base"], control["base"]),

@@ -87,7 +87,7 @@ class Staffing:
 
     @cached_property
     def rated(self) -> DataFrame:
-        return patient_days.rate_days(self.filled, self.inputs.controls, self.settings)
+        return patient_days.rate_days(self.filled, self.inputs.controls, self.control)
 
     @cached_property
     def imputed(self) -> DataFrame:
