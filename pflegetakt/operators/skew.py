@@ -7,6 +7,7 @@ for one task, and whether the ward means are few enough to broadcast.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -59,6 +60,22 @@ def _order_block(df: DataFrame, order: str):
     return F.shiftright(F.col(order).cast("bigint"), _BLOCK_BITS)
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """Written to the shared folder the session names and read back.
+
+    Cut cases are read several times: by the windows and by the summaries of their
+    pieces, which need few columns and only the cut rows. Without a shared folder
+    the rows are computed again for each.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        return df
+    folder = f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/days-{uuid.uuid4()}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def cut_hot_cases(
     days: DataFrame, sizes: StaySizes, by: CaseOrder, settings: Settings
 ) -> tuple[DataFrame, CaseOrder]:
@@ -83,4 +100,4 @@ def cut_hot_cases(
         )
         .drop("hot_key")
     )
-    return cut, CaseOrder(by.key, by.order, ("piece_day", "piece_block"))
+    return _stored(cut), CaseOrder(by.key, by.order, ("piece_day", "piece_block"))

@@ -64,6 +64,11 @@ def test_reports_do_not_depend_on_the_size_limits(spark):
     assert report(busy(spark, 3, max_broadcast_wards=0)) == plain
 
 
+def test_cut_cases_without_a_shared_folder(spark, monkeypatch):
+    monkeypatch.setattr(skew, "_stored", lambda df: df)
+    assert everything(busy(spark, 6, max_case_days=30)) == everything(busy(spark, 6))
+
+
 def test_pieces_are_bounded_by_order_blocks(spark, monkeypatch):
     monkeypatch.setattr(skew, "_BLOCK_BITS", 3)
     stays = [stay(f"p{i}", None, "IN1", "2024-02-01", "2024-02-01", i) for i in range(100)]
