@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegralType, StructType
 
 from pflegetakt.operators.case_scan import CaseOrder
 from pflegetakt.settings import Settings
@@ -57,7 +57,9 @@ def _order_block(df: DataFrame, order: str):
     kind = df.schema[order].dataType
     if isinstance(kind, StructType):
         return F.struct(*[F.col(order)[name] for name in kind.fieldNames()[:-1]])
-    return F.shiftright(F.col(order).cast("bigint"), _BLOCK_BITS)
+    if isinstance(kind, IntegralType):
+        return F.shiftright(F.col(order).cast("bigint"), _BLOCK_BITS)
+    return F.lit(0)  # no numbers to divide: a day is one piece
 
 
 def _stored(df: DataFrame) -> DataFrame:

@@ -65,15 +65,13 @@ def with_quota_nights(totals: DataFrame, master: DataFrame, settings: Settings)
     """
     nurses = ratio(F.col("Patienten_mitternacht"), F.col("nachtdienst_quote"))
     minutes = F.lit(settings.night_minutes)
-    return (
-        with_master(totals, master, ["arbeitszeit_tag_vk", "nachtdienst_quote"])
-        .withColumns(
-            {
-                "VK_tag": F.col("ppr_tag") / F.col("arbeitszeit_tag_vk"),
-                "Minuten_nacht": if_known(nurses < 1, minutes, nurses * minutes),
-            }
-        )
-        .withColumn("VK_nacht", F.col("Minuten_nacht") / F.col("arbeitszeit_tag_vk"))
+    night = if_known(nurses < 1, minutes, nurses * minutes)
+    return with_master(totals, master, ["arbeitszeit_tag_vk", "nachtdienst_quote"]).withColumns(
+        {
+            "VK_tag": F.col("ppr_tag") / F.col("arbeitszeit_tag_vk"),
+            "Minuten_nacht": night,
+            "VK_nacht": night / F.col("arbeitszeit_tag_vk"),
+        }
     )
 
 
@@ -99,20 +97,16 @@ def with_lookup_nights(
     """Night minutes from a table of census values; obstetric wards have a column
     of their own."""
     rows = with_master(_night_row(totals, night), master, ["arbeitszeit_tag_vk"])
-    return (
-        rows.withColumns(
-            {
-                "Minuten_nacht": if_known(
-                    _obstetric(settings, obstetric_wards),
-                    F.col("min_ex_geb_net"),
-                    F.col("min_ex_net"),
-                ),
-                "VK_tag": F.col("ppr_tag") / F.col("arbeitszeit_tag_vk"),
-            }
-        )
-        .withColumn("VK_nacht", F.col("Minuten_nacht") / F.col("arbeitszeit_tag_vk"))
-        .drop("min_ex_net", "min_hilf_net", "min_ex_geb_net")
+    minutes = if_known(
+        _obstetric(settings, obstetric_wards), F.col("min_ex_geb_net"), F.col("min_ex_net")
     )
+    return rows.withColumns(
+        {
+            "Minuten_nacht": minutes,
+            "VK_tag": F.col("ppr_tag") / F.col("arbeitszeit_tag_vk"),
+            "VK_nacht": minutes / F.col("arbeitszeit_tag_vk"),
+        }
+    ).drop("min_ex_net", "min_hilf_net", "min_ex_geb_net")
 
 
 def with_qualification(

@@ -13,16 +13,20 @@ from pflegetakt.operators.rows import expand_days, forward_spans
 from pflegetakt.settings import Settings
 
 
-def _flags(days: DataFrame, control: Mapping[str, Column]) -> DataFrame:
-    """Admission minutes on the first day, presence at midnight on all but the last."""
-    return days.withColumns(
-        {
-            "aufnahmewert": if_known(
-                F.col("tag") == F.col("first_day"), control["admission"], F.lit(0.0)
-            ),
-            "nachts_da": (F.col("tag") != F.col("last_day")).cast("int"),
-        }
-    )
+def _admission(control: Mapping[str, Column]) -> Column:
+    """Admission minutes on the first day of a case."""
+    return if_known(F.col("tag") == F.col("first_day"), control["admission"], F.lit(0.0))
+
+
+def _discharge(control: Mapping[str, Column]) -> Column:
+    """A share of the previous day's minutes on the last day of a case."""
+    share = F.col("vortag") * control["discharge"]
+    return if_known(F.col("tag") == F.col("last_day"), share, F.lit(0.0))
+
+
+def _at_midnight() -> Column:
+    """A patient is there at midnight on all days but the last."""
+    return (F.col("tag") != F.col("last_day")).cast("int")
 
 
 def weigh_days(days: DataFrame, control: Mapping[str, Column], by: CaseOrder) -> DataFrame:
@@ -30,20 +34,21 @@ def weigh_days(days: DataFrame, control: Mapping[str, Column], by: CaseOrder) ->
 
     A case of one day has no previous total, so its total is missing.
     """
-    totals = _flags(days, control).withColumn(
-        "tageswert", F.col("wert") + F.col("pflegegrundwert") + F.col("aufnahmewert")
+    totals = days.withColumns(
+        {
+            "aufnahmewert": _admission(control),
+            "tageswert": F.col("wert") + F.col("pflegegrundwert") + _admission(control),
+            "nachts_da": _at_midnight(),
+        }
     )
+    discharge = _discharge(control)
     return (
         previous_value(totals, "tageswert", "vortag", by)
-        .withColumn(
-            "entlasswert",
-            if_known(
-                F.col("tag") == F.col("last_day"), F.col("vortag") * control["discharge"], F.lit(0.0)
-            ),
-        )
-        .withColumn(
-            "gesamtwert",
-            if_known(F.col("entlasswert") > 0, F.col("entlasswert"), F.col("tageswert")),
+        .withColumns(
+            {
+                "entlasswert": discharge,
+                "gesamtwert": if_known(discharge > 0, discharge, F.col("tageswert")),
+            }
         )
         .drop("vortag")
     )
@@ -52,19 +57,18 @@ def weigh_days(days: DataFrame, control: Mapping[str, Column], by: CaseOrder) ->
 def weigh_days_older(days: DataFrame, control: Mapping[str, Column], by: CaseOrder) -> DataFrame:
     """Older total: base and admission minutes always count, and the discharge
     share is taken of the previous day's category minutes alone."""
+    discharge = _discharge(control)
     return (
-        previous_value(_flags(days, control), "wert", "vortag", by)
-        .withColumn(
-            "entlasswert",
-            if_known(
-                F.col("tag") == F.col("last_day"), F.col("vortag") * control["discharge"], F.lit(0.0)
-            ),
-        )
-        .withColumn(
-            "gesamtwert",
-            F.col("pflegegrundwert")
-            + F.col("aufnahmewert")
-            + if_known(F.col("entlasswert") > 0, F.col("entlasswert"), F.col("wert")),
+        previous_value(days, "wert", "vortag", by)
+        .withColumns(
+            {
+                "aufnahmewert": _admission(control),
+                "nachts_da": _at_midnight(),
+                "entlasswert": discharge,
+                "gesamtwert": F.col("pflegegrundwert")
+                + _admission(control)
+                + if_known(discharge > 0, discharge, F.col("wert")),
+            }
         )
         .drop("vortag")
     )
@@ -101,7 +105,7 @@ def newborn_days(spans: DataFrame, settings: Settings) -> DataFrame:
         F.lit(settings.newborn_ward).alias("ward"),
         F.lit(settings.newborn_minutes).alias("gesamtwert"),
         F.lit(0).alias("imputed"),
-        (F.col("tag") != F.col("last_day")).cast("int").alias("nachts_da"),
+        _at_midnight().alias("nachts_da"),
         F.lit(settings.newborn_code).alias("code"),
     )
 
@@ -118,7 +122,7 @@ def replace_newborns(days: DataFrame, spans: DataFrame, settings: Settings) -> D
     an anti-join below the case windows, and the ward means, which are taken
     before newborns leave, could then no longer share the windows' shuffle.
     """
-    marked = spans.select("case_key").distinct().withColumn("is_newborn", F.lit(1))
+    marked = spans.select("case_key", F.lit(1).alias("is_newborn")).distinct()
     kept = days.join(marked, "case_key", "left").filter(F.col("is_newborn").isNull())
     return kept.drop("is_newborn").unionByName(
         newborn_days(spans, settings), allowMissingColumns=True
