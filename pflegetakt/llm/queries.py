@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lines, sharding
+from . import langid, lines, queries_copies, queries_models, sharding
 from .common import held_out, table
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {**queries_copies.ORACLE, **queries_models.ORACLE}
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,5 +74,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_line_dedup, op3_sharding, op10_language_id)
+    **{f.__name__: f for f in (op2_line_dedup, op3_sharding, op10_language_id)},
+    **queries_copies.QUERIES,
+    **queries_models.QUERIES,
 }
