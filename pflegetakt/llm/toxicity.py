@@ -1,15 +1,16 @@
 """Toxicity by weak supervision.
 
-Many voters, each a lexicon word or a word-prefix pattern, vote on a text by occurring in it.
-A generative label model estimates, without looking at labels, how often each voter fires on
+Many voters, each a lexicon word or a word-prefix pattern, vote on a text by occurring in it
+often enough for its length; further voters look at the share of all lexicon words. A generative label model estimates, without looking at labels, how often each voter fires on
 toxic and on other texts and how voters depend on each other; its posteriors then train a
-linear classifier on all candidate words and patterns, which scores every text.
+linear classifier on all sharp words, patterns and shares, which scores every text.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,9 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import bounded_sample
+from .common import bounded_sample, stored
 
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
+PER_WORDS = 200
+"""A word or pattern counts if it occurs once per that many words of the text, or more often."""
+SHARES = (0.004, 0.008, 0.016)
+"""Shares of lexicon words in a text that are features of their own."""
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -30,35 +35,42 @@ def _features(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
 
 
-def _words(text: str | None) -> set[str]:
-    return set(_WORD.findall(text.lower())) if text else set()
+def _words(text: str | None) -> list[str]:
+    return _WORD.findall(text.lower()) if text else []
 
 
-def _signature(text: str | None) -> int:
+def _signature(words: list[str]) -> int:
     """Least hash of the text's runs of three words: near copies mostly share it."""
-    words = _WORD.findall(text.lower()) if text else []
     runs = zip(words, words[1:], words[2:], strict=False)
     return min((zlib.crc32(" ".join(r).encode()) for r in runs), default=zlib.crc32(" ".join(words).encode()))
 
 
 class Matcher:
-    """Numbers of the candidate features that occur in a text; words are looked up once."""
+    """Numbers of the features a text's words have; words are looked up once.
 
-    def __init__(self, features: list[str]):
+    Behind the named features come the shares of words that have any of them.
+    """
+
+    def __init__(self, features: list[str], shares: tuple[float, ...] = ()):
         self.index = {f: i for i, f in enumerate(features)}
+        self.shares = shares
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def __call__(self, text: str | None) -> list[int]:
-        found: set[int] = set()
+    def __call__(self, words: list[str]) -> list[int]:
+        total: dict[int, int] = {}
+        lexicon = 0
         if len(self.known) > 500_000:
             self.known.clear()
-        for word in _words(text):
+        for word, n in Counter(words).items():
             own = self.known.get(word)
             if own is None:
                 own = self.known[word] = tuple(self.index[f] for f in _features(word) if f in self.index)
             if own:
-                found.update(own)
-        return sorted(found)
+                lexicon += n
+                for f in own:
+                    total[f] = total.get(f, 0) + n
+        found = sorted(f for f, n in total.items() if n * PER_WORDS >= len(words))
+        return found + [len(self.index) + k for k, s in enumerate(self.shares) if lexicon and lexicon >= s * len(words)]
 
 
 @dataclass(frozen=True)
@@ -78,16 +90,17 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def fit_label_model(votes: np.ndarray, weight: np.ndarray, prior: float, rounds: int = 60) -> LabelModel:
-    """Expectation maximisation over 0/1 votes with a fixed share of toxic texts.
+def fit_label_model(
+    votes: np.ndarray, weight: np.ndarray, prior: float, start: np.ndarray | None = None, rounds: int = 60
+) -> LabelModel:
+    """Expectation maximisation over 0/1 votes with a fixed share of toxic texts, from a first guess.
 
-    After it, voters' correlations within the classes are measured, and each voter's evidence is
-    divided by one plus the sum of its positive correlations, so that a word and its prefixes
-    count about once.
+    After it, voters' correlations among toxic texts are measured, and each voter's evidence is
+    divided by one plus the sum of its strong ones (a half or more), so that a word and its
+    prefixes count about once.
     """
     n_voters = votes.shape[1]
-    fired = votes.any(axis=1)
-    guess = np.where(fired, 0.9, prior / 10)
+    guess = np.where(votes.any(axis=1), 0.5, prior / 10) if start is None else start
     model = LabelModel(prior, np.full(n_voters, 0.3), np.full(n_voters, 0.01), np.ones(n_voters))
     for _ in range(rounds):
         toxic, other = guess * weight, (1 - guess) * weight
@@ -103,6 +116,7 @@ def fit_label_model(votes: np.ndarray, weight: np.ndarray, prior: float, rounds:
     cov = (centred * toxic[:, None]).T @ centred / max(toxic.sum(), 1e-9)
     spread = np.sqrt(np.maximum(np.diag(cov), 1e-9))
     dependence = np.clip(cov / spread[:, None] / spread[None, :], 0, 1)
+    dependence[dependence < 0.5] = 0
     np.fill_diagonal(dependence, 0)
     return LabelModel(prior, model.fires_toxic, model.fires_other, 1 / (1 + dependence.sum(axis=1)))
 
@@ -130,13 +144,18 @@ class ToxicityModel:
 
 
 def _candidates(texts: DataFrame, support: float) -> list[str]:
-    """Words and prefixes in at least that share (and three) of the texts; near copies count once."""
+    """Words and prefixes that count in at least that share (and three) of the texts; near copies are one."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                found = sorted({f for w in _words(text) for f in _features(w)})
-                sign = pa.array([_signature(text)] * len(found), pa.int64())
+                words = _words(text)
+                counts: Counter[str] = Counter()
+                for w, n in Counter(words).items():
+                    for f in _features(w):
+                        counts[f] += n
+                found = [f for f, n in counts.items() if n * PER_WORDS >= len(words)]
+                sign = pa.array([_signature(words)] * len(found), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), sign], ["feature", "sign"])
 
     rows = texts.mapInArrow(emit, "feature string, sign long").distinct()
@@ -145,6 +164,34 @@ def _candidates(texts: DataFrame, support: float) -> list[str]:
     return sorted(r["feature"] for r in counts.where(F.col("n") >= least).collect())
 
 
+def _unnested(features: list[str]) -> list[str]:
+    """Leaves out what extends or shortens an earlier feature, as far as that is a prefix pattern."""
+    kept: list[str] = []
+    for f in features:
+        core = f.rstrip("*")
+        if not any((g.endswith("*") and core.startswith(g[:-1])) or (f.endswith("*") and g.rstrip("*").startswith(core)) for g in kept):
+            kept.append(f)
+    return kept
+
+
+def _matched(sample: DataFrame, features: list[str], shares: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """0/1 rows of the sample's texts over the features, and their labels; near copies are one."""
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(features, shares)
+        for batch in batches:
+            words = [_words(t) for t in batch.column(0).to_pylist()]
+            sign, hits = pa.array([_signature(w) for w in words], pa.int64()), pa.array([matcher(w) for w in words], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([sign, batch.column(1).cast(pa.int32()), hits], ["sign", "label", "hits"])
+
+    rows = sample.mapInArrow(match, "sign long, label int, hits array<int>").groupBy("sign").agg(F.max(F.struct("label", "hits")).alias("r"))
+    rows = rows.orderBy("sign").collect()
+    x = np.zeros((len(rows), len(features) + len(shares)), np.float32)
+    for i, r in enumerate(rows):
+        x[i, r["r"]["hits"]] = 1
+    return x, np.asarray([r["r"]["label"] for r in rows])
+
+
 def fit_toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -178,38 +225,27 @@ def fit_toxicity(
         # at most the bounded number of ids
         return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "_id")
 
-    sample = texts(toxic.unionByName(other)).select("text", "_label")
+    sample = stored(texts(toxic.unionByName(other)).select("text", "_label"), "labelled")
     features = _candidates(sample.where("_label = 1").select("text"), support)
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(features)
-        for batch in batches:
-            rows = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([_signature(t) for t in rows], pa.int64()), batch.column(1).cast(pa.int32()), pa.array([matcher(t) for t in rows], pa.list_(pa.int32()))],
-                ["sign", "label", "hits"],
-            )
-
-    rows = sample.mapInArrow(match, "sign long, label int, hits array<int>").groupBy("sign").agg(F.max(F.struct("label", "hits")).alias("r"))
-    rows = rows.orderBy("sign").collect()
-    y = np.asarray([r["r"]["label"] for r in rows])
-    x = np.zeros((len(rows), len(features)), np.float32)
-    for i, r in enumerate(rows):
-        x[i, r["r"]["hits"]] = 1
+    x, y = _matched(sample, features, ())
     n_toxic, n_other = max(int((y == 1).sum()), 1), max(int((y == 0).sum()), 1)
     t, c = x[y == 1].sum(axis=0), x[y == 0].sum(axis=0)
     odds = np.log((t + 0.5) / (n_toxic - t + 0.5)) - np.log((c + 0.5) / (n_other - c + 0.5))
-    # sharp features only: a voter must be far likelier in toxic texts, beyond chance
+    # sharp features only: far likelier in toxic texts, beyond chance
     gain = t * np.log(np.maximum((t + 0.5) / (n_toxic + 1), 1e-12) / ((c + 0.5) / (n_other + 1)))
-    picked = np.flatnonzero((odds > 2.5) & (gain > 6))
-    picked = picked[np.lexsort((picked, -gain[picked]))]
-    if not len(picked):
+    picked = np.flatnonzero((odds > 2.5) & (gain > 2 * np.log(len(features) + 1)))
+    order = sorted(picked.tolist(), key=lambda i: (-gain[i], -len(features[i]), features[i]))
+    sharp = _unnested([features[i] for i in order])
+    if not sharp:
         return ToxicityModel([], np.zeros(0), float(np.log(prior / (1 - prior))))
-    weight = np.where(y == 1, prior / n_toxic, (1 - prior) / n_other) * len(rows)
-    model = fit_label_model(x[:, picked[:voters]].astype(np.float64), weight, prior)
-    soft = model.posterior(x[:, picked[:voters]].astype(np.float64))
-    w, b = fit_linear(x[:, picked].astype(np.float64), soft, np.sqrt(weight))
-    return ToxicityModel([features[i] for i in picked], w, float(b))
+    x, y = _matched(sample, sharp, SHARES)
+    x = x.astype(np.float64)
+    votes = x[:, [*range(min(voters, len(sharp))), *range(len(sharp), x.shape[1])]]
+    votes = np.column_stack([votes, y == 1])  # the annotator is one more voter, whose errors are estimated too
+    weight = np.where(y == 1, prior / n_toxic, (1 - prior) / n_other) * len(y)
+    soft = fit_label_model(votes, weight, prior, np.where(y == 1, 0.95, 0.02)).posterior(votes)
+    w, b = fit_linear(x, soft, np.sqrt(weight))
+    return ToxicityModel(sharp, w, float(b))
 
 
 def score_toxicity(df: DataFrame, model: ToxicityModel, keep: list[str], text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -224,9 +260,10 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, keep: list[str], text_co
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        matcher = Matcher(model.features)
+        matcher = Matcher(model.features, SHARES if model.features else ())
         for batch in batches:
-            logit = np.asarray([model.bias + float(model.weights[matcher(t.as_py())].sum()) for t in batch.column(batch.num_columns - 1)])
+            hits = (matcher(_words(t.as_py())) for t in batch.column(batch.num_columns - 1))
+            logit = np.asarray([model.bias + float(model.weights[h].sum()) for h in hits])
             p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p, pa.float64())], [*batch.schema.names[:-1], score_col])
 
