@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lines, queries_copies, queries_models, sharding
+from . import archives, langid, lines, queries_copies, queries_models, sharding
 from .common import held_out, table
 
 ORACLE: dict[str, str] = {**queries_copies.ORACLE, **queries_models.ORACLE}
@@ -64,6 +64,23 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives and read back through their verified boundaries."""
+    back = archives.round_trip(table(spark, sf_dir, "pages"), "page_id", "url", "html")
+    return back.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE["op9_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes, sha256(body) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN first IS NOT NULL AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM d LEFT JOIN f USING (payload_digest)
+"""
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole document, learned from the rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -74,7 +91,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    **{f.__name__: f for f in (op2_line_dedup, op3_sharding, op10_language_id)},
+    **{f.__name__: f for f in (op2_line_dedup, op3_sharding, op9_warc, op10_language_id)},
     **queries_copies.QUERIES,
     **queries_models.QUERIES,
 }
