@@ -129,11 +129,12 @@ def contamination(
 ) -> DataFrame:
     """(k1, k2, n_hit, items): per text key the words inside any found window, and the items found.
 
-    Only texts with a hit are returned. Item ids are sorted as strings. Null item ids and null,
-    empty or repeated items or texts are no special case: what has no words matches nothing, and
-    repeated rows are one. Tables may be empty; further columns are not read.
+    Only texts with a hit are returned. Item ids are sorted as strings; items without an id are
+    left out. Null and empty items and texts have no words and match nothing; repeated rows are
+    one. Tables may be empty; further columns are not read.
     """
-    terms = stored(item_terms(items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("words")), "item", "words"), "items")
+    named = items.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("words"))
+    terms = stored(item_terms(named.distinct(), "item", "words"), "items")
     hits = stored(phrase_hits(build_index(docs, text_col, terms), terms, window), "hits")
     covered = hits.select(*KEY, F.explode(F.sequence("first", "last")).alias("pos")).distinct()
     n_hit = covered.groupBy(*KEY).agg(F.count("*").alias("n_hit"))
@@ -141,15 +142,34 @@ def contamination(
     return n_hit.join(names, list(KEY))
 
 
+def contaminated(n_hit: Column, n_words: Column) -> Column:
+    """At least one hit word, and a twentieth of all words hit."""
+    return (n_hit > 0) & (20 * n_hit >= n_words)
+
+
+def _counted(text: Column) -> Column:
+    """Number of words of a text."""
+    words = _split(text)
+    edges = (words[0] == "").cast("int") + ((F.size(words) > 1) & (F.element_at(words, -1) == "")).cast("int")
+    return (F.size(words) - edges).cast("long")
+
+
+def without_contaminated(docs: DataFrame, text_col: str, found: DataFrame) -> DataFrame:
+    """Leaves out the rows whose text is contaminated by what `found` has; all columns stay."""
+    words = docs.where(F.col(text_col).isNotNull()).select(*text_keys(F.col(text_col)), _counted(F.col(text_col)).alias("n_words"))
+    bad = words.join(small_side(stored(found.select(*KEY, "n_hit"), "contamination")), list(KEY))
+    bad = bad.where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
+    rows = docs.withColumns({"_k1": F.xxhash64(text_col), "_k2": F.hash(text_col)})
+    return rows.join(small_side(stored(bad, "contaminated")), ["_k1", "_k2"], "left_anti").drop("_k1", "_k2")
+
+
 def with_contamination(docs: DataFrame, text_col: str, found: DataFrame) -> DataFrame:
-    """Adds n_words, n_hit, items and contaminated to every row of `docs` (of columns of those names, replaced).
+    """Adds n_words, n_hit, items and contaminated to every row of `docs` (columns of those names are replaced).
 
-    Contaminated: at least one hit word, and a twentieth of all words hit.
+    Null and empty texts have no words and are not contaminated; repeated rows get equal answers.
     """
-    words = _split(F.col(text_col))
-    edges = (words[0] == "").cast("int") + ((F.size(words) > 1) & (F.element_at(words, -1) == "")).cast("int")
-    rows = docs.withColumns({"n_words": (F.size(words) - edges).cast("long"), "_k1": F.xxhash64(text_col), "_k2": F.hash(text_col)})
-    rows = rows.drop("n_hit", "items", "contaminated")
+    keys = {"n_words": _counted(F.col(text_col)), "_k1": F.xxhash64(text_col), "_k2": F.hash(text_col)}
+    rows = docs.withColumns(keys).drop("n_hit", "items", "contaminated")
     result = stored(found.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "n_hit", "items"), "contamination")
     joined = rows.join(small_side(result), ["_k1", "_k2"], "left").drop("_k1", "_k2")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
@@ -157,6 +177,6 @@ def with_contamination(docs: DataFrame, text_col: str, found: DataFrame) -> Data
         {
             "n_hit": n_hit,
             "items": F.coalesce("items", F.array().cast("array<string>")),
-            "contaminated": (n_hit > 0) & (20 * n_hit >= F.col("n_words")),
+            "contaminated": contaminated(n_hit, F.col("n_words")),
         }
     )

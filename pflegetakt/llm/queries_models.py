@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, toxicity
+from . import mixing, pii, toxicity
 from .common import bounded_sample, held_out, table
 
 ORACLE: dict[str, str] = {}
@@ -33,6 +33,13 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_tokens", "posteriors", "rate", "copies")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole document: the patterns' spans and the network's."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tagger = pii.fit_tagger(docs, "doc_id", "text")
+    return pii.find_personal_data(docs, tagger, ["doc_id"], "text")
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
     """Learned from labels of rows that are not held out."""
     labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
@@ -46,4 +53,4 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op8_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op4_pii, op8_toxicity)}
