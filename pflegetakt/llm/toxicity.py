@@ -174,8 +174,8 @@ def _unnested(features: list[str]) -> list[str]:
     return kept
 
 
-def _matched(sample: DataFrame, features: list[str], shares: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """0/1 rows of the sample's texts over the features, and their labels; near copies are one."""
+def _matched(sample: DataFrame, features: list[str], shares: tuple[float, ...]) -> DataFrame:
+    """(sign, label, hits): the features of the sample's texts; near copies are one."""
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(features, shares)
@@ -184,12 +184,23 @@ def _matched(sample: DataFrame, features: list[str], shares: tuple[float, ...])
             sign, hits = pa.array([_signature(w) for w in words], pa.int64()), pa.array([matcher(w) for w in words], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([sign, batch.column(1).cast(pa.int32()), hits], ["sign", "label", "hits"])
 
-    rows = sample.mapInArrow(match, "sign long, label int, hits array<int>").groupBy("sign").agg(F.max(F.struct("label", "hits")).alias("r"))
-    rows = rows.orderBy("sign").collect()
-    x = np.zeros((len(rows), len(features) + len(shares)), np.float32)
-    for i, r in enumerate(rows):
-        x[i, r["r"]["hits"]] = 1
-    return x, np.asarray([r["r"]["label"] for r in rows])
+    rows = sample.mapInArrow(match, "sign long, label int, hits array<int>")
+    return rows.groupBy("sign").agg(F.max(F.struct("label", "hits")).alias("r")).select("sign", "r.label", "r.hits")
+
+
+def _sharp(sample: DataFrame, features: list[str], most: int) -> list[str]:
+    """Features far likelier in toxic texts than in others, beyond chance, the strongest first; nested ones once."""
+    rows = stored(_matched(sample, features, ()), "hits")
+    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    n_toxic, n_other = max(sizes.get(1, 0), 1), max(sizes.get(0, 0), 1)
+    t, c = np.zeros(len(features)), np.zeros(len(features))
+    for r in rows.select("label", F.explode("hits").alias("f")).groupBy("label", "f").count().collect():
+        (t if r["label"] == 1 else c)[r["f"]] = r["count"]
+    odds = np.log((t + 0.5) / (n_toxic - t + 0.5)) - np.log((c + 0.5) / (n_other - c + 0.5))
+    gain = t * np.log(((t + 0.5) / (n_toxic + 1)) / ((c + 0.5) / (n_other + 1)))
+    picked = np.flatnonzero((odds > 2.5) & (gain > 2 * np.log(len(features) + 1)))
+    order = sorted(picked.tolist(), key=lambda i: (-gain[i], -len(features[i]), features[i]))
+    return _unnested([features[i] for i in order])[:most]
 
 
 def fit_toxicity(
@@ -200,13 +211,13 @@ def fit_toxicity(
     label_col: str = "toxic",
     toxic_rows: int = 4000,
     other_rows: int = 12_000,
-    voters: int = 128,
+    lexicon: int = 128,
     support: float = 0.004,
 ) -> ToxicityModel:
     """Fits voters, label model and classifier on labelled documents.
 
     Documented bounds: about `toxic_rows` labelled toxic and `other_rows` other documents, chosen
-    by hash of their id, `voters` voters. Candidates and features follow from `support`. The
+    by hash of their id, and `lexicon` words and patterns. Candidates follow from `support`. The
     share of toxic texts is counted over all given labels. Null ids and labels are left out; a
     document with several labels counts as toxic if one says so. Without toxic texts every score
     is the prior.
@@ -227,22 +238,16 @@ def fit_toxicity(
 
     sample = stored(texts(toxic.unionByName(other)).select("text", "_label"), "labelled")
     features = _candidates(sample.where("_label = 1").select("text"), support)
-    x, y = _matched(sample, features, ())
-    n_toxic, n_other = max(int((y == 1).sum()), 1), max(int((y == 0).sum()), 1)
-    t, c = x[y == 1].sum(axis=0), x[y == 0].sum(axis=0)
-    odds = np.log((t + 0.5) / (n_toxic - t + 0.5)) - np.log((c + 0.5) / (n_other - c + 0.5))
-    # sharp features only: far likelier in toxic texts, beyond chance
-    gain = t * np.log(np.maximum((t + 0.5) / (n_toxic + 1), 1e-12) / ((c + 0.5) / (n_other + 1)))
-    picked = np.flatnonzero((odds > 2.5) & (gain > 2 * np.log(len(features) + 1)))
-    order = sorted(picked.tolist(), key=lambda i: (-gain[i], -len(features[i]), features[i]))
-    sharp = _unnested([features[i] for i in order])
+    sharp = _sharp(sample, features, lexicon)
     if not sharp:
         return ToxicityModel([], np.zeros(0), float(np.log(prior / (1 - prior))))
-    x, y = _matched(sample, sharp, SHARES)
-    x = x.astype(np.float64)
-    votes = x[:, [*range(min(voters, len(sharp))), *range(len(sharp), x.shape[1])]]
-    votes = np.column_stack([votes, y == 1])  # the annotator is one more voter, whose errors are estimated too
-    weight = np.where(y == 1, prior / n_toxic, (1 - prior) / n_other) * len(y)
+    rows = _matched(sample, sharp, SHARES).orderBy("sign").collect()
+    y = np.asarray([r["label"] for r in rows])
+    x = np.zeros((len(rows), len(sharp) + len(SHARES)))
+    for i, r in enumerate(rows):
+        x[i, r["hits"]] = 1
+    votes = np.column_stack([x, y == 1])  # the annotator is one more voter, whose errors are estimated too
+    weight = np.where(y == 1, prior / max((y == 1).sum(), 1), (1 - prior) / max((y == 0).sum(), 1)) * len(y)
     soft = fit_label_model(votes, weight, prior, np.where(y == 1, 0.95, 0.02)).posterior(votes)
     w, b = fit_linear(x, soft, np.sqrt(weight))
     return ToxicityModel(sharp, w, float(b))
