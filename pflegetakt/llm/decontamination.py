@@ -1,10 +1,11 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 The index holds one posting (term, text key, position) per training token that the test items
-use; it is split by document, and every part is sorted by term. A test item is looked up from
-its rarest terms: their postings, moved back by the term's offset in the item, give candidate
-alignments (text, item, start); these are then intersected with the offset-adjusted postings of
-all other terms. Everything is DataFrame expressions, joins and aggregates.
+use; it is split by document, every part in text order. A window of a test item is looked up
+from its two rarest terms: the postings of the rarest, moved back by the term's offset in the
+item, give alignments (text, item, start); these are intersected with the offset-adjusted
+postings of the next rarest, and what is left with those of all terms. Everything is DataFrame
+expressions, joins and aggregates.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ KEY = ("k1", "k2")
 
 def _split(text: Column) -> Column:
     """Lower-cased (A-Z) words; a leading or trailing separator leaves an empty word at that end."""
-    lowered = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    return F.split(lowered, SEPARATORS)
+    text = F.coalesce(text, F.lit(""))
+    # lower() would change further letters; without any, it is the same and faster
+    other = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    return F.split(F.when(text.rlike(r"[^\x00-\x7F]"), other).otherwise(F.lower(text)), SEPARATORS)
 
 
 def words_of(text: Column) -> Column:
@@ -58,48 +61,65 @@ def build_index(docs: DataFrame, text_col: str, terms: DataFrame) -> PhraseIndex
     Documents are not shuffled.
     """
     vocabulary = small_side(stored(terms.select("term").distinct(), "vocabulary"))
-    tokens = docs.where(F.col(text_col).isNotNull()).select(*text_keys(F.col(text_col)), F.posexplode(_split(F.col(text_col))).alias("pos", "term"))
+    texts = docs.where(F.col(text_col).isNotNull())
+    # keys first: beside the generator they would be computed for every token
+    texts = texts.select(*text_keys(F.col(text_col)), _split(F.col(text_col)).alias("words"))
+    tokens = texts.select(*KEY, F.posexplode("words").alias("pos", "term"))
     own = tokens.join(vocabulary, "term", "left_semi").select("term", *KEY, "pos")
-    postings = stored(own.sortWithinPartitions("term", "k1", "pos"), "postings")
-    return PhraseIndex(postings, postings.groupBy("term").agg(F.count("*").alias("n")))
+    postings = stored(own, "postings")
+    return PhraseIndex(postings, stored(postings.groupBy("term").agg(F.count("*").alias("n")), "frequencies"))
 
 
 def rarest_terms(index: PhraseIndex, terms: DataFrame, window: int) -> DataFrame:
-    """(item, offset, term, length): for each window of an item its rarest term, each once.
+    """(item, offset, term, offset2, term2): for each window of an item its two rarest terms, each pair once.
 
     Windows with a term that the index lacks cannot match and are left out; ties of frequency
-    go to the earlier offset.
+    go to the earlier offset. Windows of one word have it twice.
     """
     known = terms.join(index.frequencies, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     size = F.least(F.col("length"), F.lit(window))
     # every offset lies in the windows that start up to window - 1 words before it
     starts = F.sequence(F.greatest(F.col("offset") - size + 1, F.lit(0)), F.least(F.col("offset"), F.col("length") - size))
     spread = known.withColumn("start", F.explode(starts))
-    rarest = spread.groupBy("item", "start", "length").agg(F.min(F.struct("n", "offset", "term")).alias("best"))
-    return rarest.where(F.col("best.n") > 0).select("item", "best.offset", "best.term", "length").distinct()
+    ranked = spread.groupBy("item", "start").agg(F.array_sort(F.collect_list(F.struct("n", "offset", "term"))).alias("by"))
+    first, second = F.col("by")[0], F.when(F.size("by") > 1, F.get("by", F.lit(1))).otherwise(F.col("by")[0])
+    ranked = ranked.where(first["n"] > 0)
+    return ranked.select(
+        "item", first["offset"].alias("offset"), first["term"].alias("term"), second["offset"].alias("offset2"), second["term"].alias("term2")
+    ).distinct()
 
 
-def alignments(index: PhraseIndex, terms: DataFrame, window: int) -> DataFrame:
-    """(k1, k2, item, start): where an item could lie in a text, from the rarest terms' postings."""
-    rare = small_side(stored(rarest_terms(index, terms, window).select("item", "offset", "term"), "rarest"))
+def alignments(index: PhraseIndex, terms: DataFrame, window: int, slack: int = 0) -> DataFrame:
+    """(k1, k2, item, start): where a window of an item could lie in a text, by its two rarest terms.
+
+    The second may stand up to `slack` words from its place.
+    """
+    rare = small_side(stored(rarest_terms(index, terms, window), "rarest"))
     hits = index.postings.join(rare, "term")
-    return hits.select(*KEY, "item", (F.col("pos") - F.col("offset")).alias("start")).distinct()
+    start = F.col("pos") - F.col("offset")
+    hits = hits.select(*KEY, "item", start.alias("start"), F.col("term2").alias("term"), (start + F.col("offset2")).alias("pos")).distinct()
+    if slack:
+        hits = hits.withColumn("pos", F.explode(F.sequence(F.col("pos") - slack, F.col("pos") + slack)))
+    second = small_side(stored(rare.select(F.col("term2").alias("term")).distinct(), "second"))
+    confirming = index.postings.join(second, "term", "left_semi")
+    return hits.join(confirming, [*KEY, "term", "pos"]).select(*KEY, "item", "start").distinct()
 
 
 def aligned_terms(index: PhraseIndex, terms: DataFrame, window: int, slack: int = 0) -> DataFrame:
-    """(k1, k2, item, start, length, offset, pos): terms of candidate alignments found in the text.
+    """(k1, k2, item, start, length, offset, pos): terms of candidate alignments found in the text, each once.
 
     A term counts up to `slack` words from its place.
     """
     places = terms.groupBy("item", "length").agg(F.collect_list(F.struct("offset", "term")).alias("places"))
-    expected = alignments(index, terms, window).join(small_side(stored(places, "places")), "item")
+    found = stored(alignments(index, terms, window, slack), "alignments")
+    expected = found.join(small_side(stored(places, "places")), "item")
     expected = expected.select(*KEY, "item", "start", "length", F.explode("places").alias("p"))
     expected = expected.select(*KEY, "item", "start", "length", "p.offset", "p.term", (F.col("start") + F.col("p.offset")).alias("pos"))
     if slack:
-        moved = F.sequence(F.col("pos") - slack, F.col("pos") + slack)
-        expected = expected.withColumn("pos", F.explode(moved))
-    there = index.postings.join(expected.select(*KEY).distinct(), list(KEY), "left_semi").distinct()
-    return expected.join(there, [*KEY, "pos", "term"]).drop("term")
+        expected = expected.withColumn("pos", F.explode(F.sequence(F.col("pos") - slack, F.col("pos") + slack)))
+    texts = small_side(stored(found.select(*KEY).distinct(), "texts"))
+    there = index.postings.join(texts, list(KEY), "left_semi")
+    return expected.join(there, [*KEY, "pos", "term"]).select(*KEY, "item", "start", "length", "offset", "pos").distinct()
 
 
 def phrase_hits(index: PhraseIndex, terms: DataFrame, window: int = 13) -> DataFrame:
