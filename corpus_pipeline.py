@@ -50,10 +50,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     names = docs.columns
     rows, _ = mixing.mix_documents(docs, domain_model(spark, sf_dir), "doc_id", "text", power=MIX_POWER, keep_all=True)
-    extra = stored(rows.where("copies <> 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "copies").distinct(), "copies")
+    extra = stored(rows.where("copies <> 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("copies").alias("_copies")).distinct(), "copies")
     keyed = docs.withColumn("_text_key", F.xxhash64("text"))
     same = keyed["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
-    times = F.sequence(F.lit(1), F.coalesce("copies", F.lit(1)).cast("int"))
+    times = F.sequence(F.lit(1), F.coalesce("_copies", F.lit(1)).cast("int"))
     return keyed.join(small_side(extra), same, "left").withColumn("_copy", F.explode(times)).select(*names)
 
 
