@@ -1,0 +1,147 @@
+"""Patterns against the regular expressions they stand for; network pieces against brute force."""
+
+import itertools
+import random
+import re
+
+import numpy as np
+import pytest
+
+from pflegetakt.llm import pii
+from pflegetakt.llm.queries import QUERIES
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def brute(text):
+    out = {}
+    for kind, pattern in PATTERNS.items():
+        out[kind] = []
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m.group())
+            if kind == "ip" and any(int(p) > 255 for p in m.group().split(".")):
+                continue
+            if kind == "card" and not (13 <= len(digits) <= 19 and pii.luhn(digits)):
+                continue
+            if kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            out[kind].append(m.span())
+    return out
+
+
+def test_patterns_equal_regular_expressions():
+    rng = random.Random(0)
+    for signs in ("a1.@-+ 2(5", "0123456789 -", "25.", "+1 ()-9", "é@.a_%"):
+        for _ in range(4000):
+            text = "".join(rng.choice(signs) for _ in range(40))
+            assert pii.base_spans(text) == brute(text), text
+    assert pii.luhn("4539148803436467") and not pii.luhn("4539148803436468")
+    assert pii.base_spans(None) == pii.base_spans("") == {k: [] for k in pii.KINDS}
+
+
+def test_long_runs_take_linear_time():
+    for text in ("a" * 200_000, "1" * 200_000, "+1" + " (" * 100_000, "1." * 100_000, "@a" * 50_000):
+        pii.base_spans(text)
+
+
+def test_viterbi_is_the_best_path():
+    rng = np.random.default_rng(0)
+    scores, trans = rng.normal(size=(5, 30, 3)), rng.normal(size=(3, 3))
+    scores[:, ::2, 0] += 9  # windows that need no search
+    best = pii.viterbi(scores, trans)
+    for w in range(30):
+        def value(path, w=w):
+            return sum(scores[t, w, k] for t, k in enumerate(path)) + sum(trans[a, b] for a, b in itertools.pairwise(path))
+        wanted = max(itertools.product(range(3), repeat=5), key=value)
+        assert np.isclose(value(tuple(best[:, w])), value(wanted))
+
+
+def test_gradients_are_the_slopes():
+    rng = np.random.default_rng(0)
+    tagger = pii.new_tagger(1)
+    for a in (*tagger.table, *tagger.recur, tagger.out, tagger.trans):
+        a += rng.normal(size=a.shape).astype(np.float32) * 0.3
+    codes, tags = rng.integers(0, pii.N_CLASSES, (6, 4)), rng.integers(0, 5, (6, 4))
+
+    def loss():
+        return pii.crf_gradients(pii.emissions(tagger, codes).astype(np.float64), tags, tagger.trans.astype(np.float64))
+
+    _, ds, dt = loss()
+    keep = []
+    ahead = pii._cells(codes, tagger.table[0], tagger.recur[0], keep)
+    dtable, drecur = pii._cell_gradients(codes, keep, tagger.recur[0], ds @ tagger.out[: pii.HIDDEN].T)
+    dout = np.einsum("tbh,tbk->hk", ahead, ds)
+    for array, gradient in ((tagger.table[0], dtable), (tagger.recur[0], drecur), (tagger.out[: pii.HIDDEN], dout), (tagger.trans, dt)):
+        for at in sorted(np.ndindex(array.shape), key=lambda i: -abs(gradient[i]))[:6]:
+            old = array[at]
+            array[at] = old + 5e-3
+            high = loss()[0]
+            array[at] = old - 5e-3
+            low = loss()[0]
+            array[at] = old
+            assert abs((high - low) / 1e-2 - gradient[at]) < 0.02 * max(0.1, abs(gradient[at])), at
+
+
+
+
+def test_windows_are_put_together(monkeypatch):
+    monkeypatch.setattr(pii, "emissions", lambda tagger, codes: np.where((codes == 1)[:, :, None], np.eye(5)[3], np.eye(5)[0]) * 9.0)
+    tagger = pii.new_tagger()
+    tagger.trans[:] = 0
+    rng = random.Random(1)
+    for size in (0, 1, 47, 48, 49, 255, 256, 257, 464, 465, 1000, 3000):
+        text = "".join(rng.choice("a7") for _ in range(size)) if size < 2000 else "a" * 100 + "7" * 2500 + "a" * 400
+        wanted = [m.span() for m in re.finditer("7+", text)]
+        assert pii.tag_spans(tagger, ["", text, None])[1]["card"] == wanted
+
+
+@pytest.fixture(scope="module")
+def trained(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    return pii.fit_tagger(docs, "doc_id", "text", sample=5000, windows=900)
+
+
+def test_network_learns_and_adds(spark, trained):
+    texts = [
+        "thnt oner call (301) 555-0346 there and the erthly",
+        "ther onsh write to berta.19 at mail dot com then",
+        "nothing of this kind is here, only plain words of Version 2.0.",
+        "erha 4539 1488 0343 6467 onti",
+    ]
+    spans = pii.tag_spans(trained, texts)
+    base = [pii.base_spans(t) for t in texts]
+    added = [pii.added_spans(t, b, s) for t, b, s in zip(texts, base, spans, strict=True)]
+    assert sum(len(v) for v in added[2].values()) == 0
+    assert base[3]["card"] and not any(added[3].values())
+    assert sum(bool(added[0]["phone"]) + bool(added[1]["email"]) for _ in (0,)) >= 1
+
+
+def test_query_keeps_base_spans(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = QUERIES["op4_pii"](spark, sf_dir).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    import hashlib
+
+    for r in rows:
+        base = brute(texts[r["doc_id"]])
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [len(base[k]) for k in pii.KINDS]
+        line = ",".join(f"{k}:{a}:{b}" for k in pii.KINDS for a, b in base[k])
+        assert r["base_sha256"] == hashlib.sha256(line.encode()).hexdigest()
+        assert set(line.split(",")) <= set(r["spans"].split(","))
+
+
+def test_edges(spark, trained):
+    docs = [(None, "a@b.cd"), (1, None), (2, ""), (3, "x@y.zz"), (3, "x@y.zz"), (4, "é" * 300_000 + " 1.2.3.4")]
+    frame = spark.createDataFrame([(d, t, "clash") for d, t in docs], "id long, text string, spans string")
+    rows = pii.find_personal_data(frame, trained, ["id"], "text").collect()
+    assert [r["n_email"] for r in rows] == [1, 0, 0, 1, 1, 0] and rows[5]["n_ip"] == 1
+    assert rows[5]["spans"] == "ip:300001:300008" and rows[0]["spans"] == "email:0:6"
+    assert pii.find_personal_data(frame.limit(0), trained, ["id"], "text").count() == 0
+    nothing = pii.fit_tagger(frame.limit(0), "id", "text")
+    assert [r["added"] for r in pii.find_personal_data(frame, nothing, ["id"], "text").collect()] == [0] * 6
