@@ -161,12 +161,12 @@ NUMBER_TEXTS = """
 number_texts as (
   select event_id,
          case event_type
-           when 'error' then 'k.A.'
+           when 'error' then list_extract(['k.A.', '60d', 'NaN'], user_id % 3 + 1)
            when 'signup' then null
            when 'click' then replace(cast(cast(value as decimal(12,2)) as varchar), '.', ',')
            else '1.' || lpad(cast(cast(floor(value) as bigint) as varchar), 3, '0') || ',5' end as comma_text,
          case event_type
-           when 'error' then 'k.A.'
+           when 'error' then list_extract(['k.A.', '60d', 'NaN'], user_id % 3 + 1)
            when 'signup' then null
            else cast(cast(value as decimal(12,2)) as varchar) end as point_text,
          case event_type
@@ -184,7 +184,8 @@ ORACLE: dict[str, str] = {
     # Rows and columns.
     "scan_delimited": _sql("""
         select 'Süd ' || event_type as station, event_id as zeile,
-               cast(cast(value as decimal(12,2)) as double) as wert, cast(user_id as varchar) as fallnummer
+               cast(cast(value as decimal(12,2)) as double) as wert, cast(user_id as varchar) as fallnummer,
+               case when event_type <> 'error' then 'say "' || event_type || '"; \\' end as text
         from events"""),
     "parse_decimal_comma": f"with {NUMBER_TEXTS} select event_id, comma_number as number from number_texts",
     "cast_numeric": f"with {NUMBER_TEXTS} select event_id, point_number as number from number_texts",
@@ -255,6 +256,12 @@ ORACLE: dict[str, str] = {
                count(*) filter (end_day < begin_day) as reversed
         from (select cast(begin_ts as date) as begin_day, cast(end_ts as date) as end_day from fx_stays
               where ward is not null and begin_ts >= timestamp '2024-01-01 00:00:00')"""),
+    "newborn_checks": _sql("""
+        select count(*) filter (b <= d) as counted, count(*) filter (b is null) as without_birth,
+               count(*) filter (b is not null and d is null) as without_discharge, count(*) filter (b > d) as reversed
+        from (select cast(case digit when '1' then null when '3' then discharge + interval 3 day else birth end as date) as b,
+                     cast(case when digit <> '2' then discharge end as date) as d
+              from (select *, right(split_part(case_id, '-', 1), 1) as digit from fx_newborns))"""),
     # Workload.
     "admission_discharge": _sql(f"""
         select {_DAY_KEYS}, aufnahmewert, {_r('entlasswert', 'entlasswert')}, {_r('gesamtwert', 'gesamtwert')}

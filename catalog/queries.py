@@ -42,8 +42,12 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """Folder that all executors see; a machine-local one only where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-")
+    """Folder that all executors see. Where the session names none, only a local one goes on."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        root = tempfile.mkdtemp(prefix="run-")
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{name}"
 
 
@@ -52,37 +56,45 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 @register
 def scan_delimited(spark, sf_dir):
-    """A Latin-1 file with umlauts and comma decimals, written from all events."""
+    """A Latin-1 file with umlauts, comma decimals, doubled quotes, separators and backslashes
+    inside quotes and quoted empty texts, written from all events."""
     folder = scratch(spark, "scan_delimited")
     written = table(spark, sf_dir, "events").select(
         F.concat(F.lit("Süd "), "event_type").alias("Station"),
         F.col("event_id").alias("Zeile"),
         F.translate(F.col("value").cast("decimal(12,2)").cast("string"), ".", ",").alias("Wert"),
         F.col("user_id").alias("Fallnummer"),
+        F.when(F.col("event_type") == "error", "")
+        .otherwise(F.concat(F.lit('say "'), "event_type", F.lit('"; \\')))
+        .alias("Text"),
+    )
+    written.write.mode("overwrite").csv(
+        folder, sep=";", header=True, encoding="ISO-8859-1", escape='"'
     )
-    written.write.mode("overwrite").csv(folder, sep=";", header=True, encoding="ISO-8859-1")
     return scan_file(spark, folder, "ISO-8859-1").select(
         F.col("Station").alias("station"),
         F.col("Zeile").cast("bigint").alias("zeile"),
         parse_decimal_comma(F.col("Wert")).alias("wert"),
         F.col("Fallnummer").alias("fallnummer"),
+        F.col("Text").alias("text"),
     )
 
 
 def _number_texts(spark, sf_dir):
     """Texts with comma or point decimals, grouped thousands, no number, nothing."""
     kind = F.col("event_type")
+    none = F.element_at(F.array(F.lit("k.A."), F.lit("60d"), F.lit("NaN")), (F.col("user_id") % 3 + 1).cast("int"))
     plain = F.col("value").cast("decimal(12,2)").cast("string")
     thousands = F.concat(
         F.lit("1."), F.lpad(F.floor("value").cast("string"), 3, "0"), F.lit(",5")
     )
     return table(spark, sf_dir, "events").select(
         "event_id",
-        F.when(kind == "error", "k.A.")
+        F.when(kind == "error", none)
         .when(kind == "click", F.translate(plain, ".", ","))
         .when(kind != "signup", thousands)
         .alias("comma_text"),
-        F.when(kind == "error", "k.A.").when(kind != "signup", plain).alias("point_text"),
+        F.when(kind == "error", none).when(kind != "signup", plain).alias("point_text"),
     )
 
 
@@ -295,6 +307,19 @@ def stay_checks(spark, sf_dir):
     return patient_days.stay_checks(fixture(spark, sf_dir, "fx_stays"), Settings())
 
 
+@register
+def newborn_checks(spark, sf_dir):
+    """With a missing birth, a missing discharge or a turned span, by the last digit of the user."""
+    births = fixture(spark, sf_dir, "fx_newborns")
+    digit = F.substring(F.split("case_id", "-")[0], -1, 1)
+    turned = F.col("discharge") + F.expr("interval 3 days")
+    return workload.newborn_checks(
+        births.withColumn(
+            "birth", F.when(digit == "3", turned).otherwise(F.when(digit != "1", F.col("birth")))
+        ).withColumn("discharge", F.when(digit != "2", F.col("discharge")))
+    )
+
+
 # Workload
 
 

@@ -5,21 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
+
+def _plain_number(text: Column) -> Column:
+    """Casts digits with a decimal point; type suffixes and words for no number are missing."""
+    return F.when(text.rlike(_NUMBER), text).try_cast("double")
+
 
 def parse_decimal_comma(text: Column) -> Column:
     """``1.234,5`` to 1234.5; anything that is no number is missing.
 
-    Dots are dropped where they group thousands.
+    Dots are dropped where they group thousands, three digits each. Any other dot is a
+    decimal point, so ``1.5`` is one and a half.
     """
     text = F.trim(text)
     grouped = text.rlike(r"^[+-]?\d{1,3}(\.\d{3})+(,\d*)?$")
     digits = F.when(grouped, F.replace(text, F.lit("."), F.lit(""))).otherwise(text)
-    return F.replace(digits, F.lit(","), F.lit(".")).try_cast("double")
+    return _plain_number(F.replace(digits, F.lit(","), F.lit(".")))
 
 
 def to_number(value: Column) -> Column:
     """Number of a text with a decimal point; bad text is missing."""
-    return F.trim(value.cast("string")).try_cast("double")
+    return _plain_number(F.trim(value.cast("string")))
 
 
 def all_to_number(df: DataFrame, parse=to_number) -> DataFrame:

@@ -60,21 +60,36 @@ NIGHT_COLUMNS = {
 
 
 def scan_delimited(
-    spark: SparkSession, path: str, encoding: str = "UTF-8", with_order: bool = False
+    spark: SparkSession,
+    path: str,
+    encoding: str = "UTF-8",
+    with_order: bool = False,
+    multiline: bool = False,
 ) -> DataFrame:
-    """All columns of a file with a header row, as text; empty and ``NA`` are missing.
+    """All columns of a file with a header row, as text; empty, quoted or not, and ``NA`` are missing.
 
-    Spark appends the position to repeated headers. ``with_order`` adds ``ord``.
+    Quotes inside quoted values are doubled; a backslash is text. Spark appends the
+    position to repeated headers. ``with_order`` adds ``ord``. ``multiline`` accepts
+    line breaks inside quotes; each file is then read by one task.
     """
-    rows = spark.read.csv(path, sep=";", header=True, encoding=encoding, nullValue="NA")
+    read = spark.read.csv(
+        path,
+        sep=";",
+        header=True,
+        encoding=encoding,
+        nullValue="NA",
+        escape='"',
+        multiLine=multiline,
+    )
+    known = [F.nullif(F.col(f"`{name}`"), F.lit("")).alias(name) for name in read.columns]
     if not with_order:
-        return rows
+        return read.select(*known)
     place = F.struct(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
     )
-    return rows.select("*", place.alias("ord"))
+    return read.select(*known, place.alias("ord"))
 
 
 def _named(table: str, rows: DataFrame, columns: dict[str, str]) -> list[Column]:
