@@ -58,11 +58,6 @@ def valid_stays(stays: DataFrame, settings: Settings) -> DataFrame:
     return forward_spans(admitted_stays(stays, settings), "begin_day", "end_day")
 
 
-def open_stays(stays: DataFrame, settings: Settings) -> DataFrame:
-    """Stays without an end; they do not count."""
-    return admitted_stays(stays, settings).filter(F.col("end_day").isNull())
-
-
 def rejected_stays(stays: DataFrame, settings: Settings) -> DataFrame:
     """Stays that end before they begin."""
     return reversed_spans(admitted_stays(stays, settings), "begin_day", "end_day")

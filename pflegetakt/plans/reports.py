@@ -57,8 +57,7 @@ def monthly_report(shifts: DataFrame, master: DataFrame, settings: Settings) ->
     )
     months = _month_names(settings)
     return (
-        rows.orderBy("Station2", *months, "shift_rank")
-        .select(
+        rows.select(
             F.lit(settings.site).alias("Standortkennzeichen"),
             "Station2",
             F.lit(settings.department_key).alias("FAB_Key"),
@@ -82,6 +81,12 @@ def monthly_report(shifts: DataFrame, master: DataFrame, settings: Settings) ->
     )
 
 
+def in_report_order(report: DataFrame, settings: Settings) -> DataFrame:
+    """By ward, month and shift, the day first; for the sink, as other steps need no order."""
+    night = (F.col("Schicht") != settings.day_label).cast("int")
+    return report.orderBy("Station2", *_month_names(settings), night)
+
+
 def ward_month_total(report: DataFrame, settings: Settings) -> DataFrame:
     """Posts of both shifts and their lead, and the mean census, per ward and month."""
     return report.groupBy("Station2", *_month_names(settings)).agg(

@@ -43,7 +43,11 @@ class Inputs:
 
 
 class Staffing:
-    """Stages of one run. Nothing is computed before an action, but for ``sizes``."""
+    """Stages of one run.
+
+    Stages from ``imputed`` on count large cases and wards first (``sizes``). If there
+    are large cases, building the plan also writes the patient-days to the shared folder.
+    """
 
     def __init__(self, inputs: Inputs, settings: Settings | None = None):
         self.inputs = inputs
@@ -129,11 +133,18 @@ class Staffing:
         return reports.monthly_shifts(self.ward_days if days is None else days, self.settings)
 
     def monthly_report(self, days: DataFrame | None = None) -> DataFrame:
-        """Reports take stored ward-days in place of computing them again."""
+        """Reports take stored ward-days in place of computing them again; unordered."""
         return reports.monthly_report(self.monthly_shifts(days), self.master, self.settings)
 
-    def ward_month_total(self, days: DataFrame | None = None) -> DataFrame:
-        return reports.ward_month_total(self.monthly_report(days), self.settings)
+    def in_report_order(self, report: DataFrame) -> DataFrame:
+        return reports.in_report_order(report, self.settings)
+
+    def ward_month_total(
+        self, days: DataFrame | None = None, report: DataFrame | None = None
+    ) -> DataFrame:
+        """Of a stored monthly report, if one is given."""
+        report = self.monthly_report(days) if report is None else report
+        return reports.ward_month_total(report, self.settings)
 
     def missing_report(self, days: DataFrame | None = None) -> DataFrame:
         return reports.missing_report(self.ward_days if days is None else days, self.settings)
@@ -148,6 +159,12 @@ class Staffing:
             patient_days.rejected_stays(self.inputs.stays, self.settings)
         )
 
+    def newborn_checks(self) -> DataFrame:
+        return workload.newborn_checks(self.inputs.newborns)
+
+    def rejected_newborns(self) -> DataFrame:
+        return workload.rejected_newborns(self.inputs.newborns)
+
     def split_wards(self) -> DataFrame:
         """Merged wards that multiply their ward-days."""
         return ward_days.split_wards(self.master)

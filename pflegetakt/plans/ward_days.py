@@ -76,11 +76,13 @@ def with_quota_nights(totals: DataFrame, master: DataFrame, settings: Settings)
 
 
 def _night_row(totals: DataFrame, night: DataFrame) -> DataFrame:
-    """The lookup row of the midnight census; missing outside the table."""
-    rows = night.withColumn("patienten", F.col("patienten").cast("bigint"))
-    return totals.join(
-        rows, F.col("Patienten_mitternacht").eqNullSafe(F.col("patienten")), "left"
-    ).drop("patienten")
+    """The lookup row of the midnight census; missing outside the table.
+
+    The keys are numbers, not counts: a row for 12.6 belongs to no census.
+    """
+    rows = night.withColumn("patienten", F.col("patienten").cast("double"))
+    census = F.col("Patienten_mitternacht").cast("double")
+    return totals.join(rows, census.eqNullSafe(F.col("patienten")), "left").drop("patienten")
 
 
 def _obstetric(settings: Settings, wards: Collection[str] | None) -> Column:

@@ -74,16 +74,43 @@ def weigh_days_older(days: DataFrame, control: Mapping[str, Column], by: CaseOrd
     )
 
 
+def _newborn_days_of(newborns: DataFrame) -> DataFrame:
+    return newborns.withColumns(
+        {
+            "begin_day": F.col("birth").cast("date"),
+            "end_day": F.col("discharge").cast("date"),
+        }
+    )
+
+
 def newborn_spans(newborns: DataFrame) -> DataFrame:
-    """Distinct newborn stays; open and reversed ones are dropped."""
-    spans = newborns.select(
-        key_text(F.col("case_id")).alias("case_key"),
-        F.col("birth").cast("date").alias("begin_day"),
-        F.col("discharge").cast("date").alias("end_day"),
+    """Distinct newborn stays; open and reversed ones are dropped, see ``rejected_newborns``."""
+    spans = _newborn_days_of(newborns).select(
+        key_text(F.col("case_id")).alias("case_key"), "begin_day", "end_day"
     )
     return forward_spans(spans, "begin_day", "end_day").distinct()
 
 
+def rejected_newborns(newborns: DataFrame) -> DataFrame:
+    """Reject table: records without birth or discharge, or with a discharge before birth."""
+    counts = F.coalesce(F.col("begin_day") <= F.col("end_day"), F.lit(False))
+    return _newborn_days_of(newborns).filter(~counts).drop("begin_day", "end_day")
+
+
+def newborn_checks(newborns: DataFrame) -> DataFrame:
+    """How many newborn records count, lack birth or discharge, or end before they begin.
+
+    A record that lacks both is counted among those without birth.
+    """
+    begin, end = F.col("begin_day"), F.col("end_day")
+    return _newborn_days_of(newborns).agg(
+        F.count_if(begin <= end).alias("counted"),
+        F.count_if(begin.isNull()).alias("without_birth"),
+        F.count_if(begin.isNotNull() & end.isNull()).alias("without_discharge"),
+        F.count_if(begin > end).alias("reversed"),
+    )
+
+
 def newborn_days(spans: DataFrame, settings: Settings) -> DataFrame:
     """Newborn stays to days with a flat rate.
 
@@ -111,12 +138,7 @@ def newborn_days(spans: DataFrame, settings: Settings) -> DataFrame:
 
 
 def without_cases(days: DataFrame, spans: DataFrame) -> DataFrame:
-    """Days of cases that are not among the newborns."""
-    return days.join(spans.select("case_key").distinct(), "case_key", "left_anti")
-
-
-def replace_newborns(days: DataFrame, spans: DataFrame, settings: Settings) -> DataFrame:
-    """Drops newborn cases and adds their flat-rate days.
+    """Days of cases that are not among the newborns.
 
     The anti-join is written as an outer join and a null test. Catalyst would push
     an anti-join below the case windows, and the ward means, which are taken
@@ -124,6 +146,11 @@ def replace_newborns(days: DataFrame, spans: DataFrame, settings: Settings) -> D
     """
     marked = spans.select("case_key", F.lit(1).alias("is_newborn")).distinct()
     kept = days.join(marked, "case_key", "left").filter(F.col("is_newborn").isNull())
-    return kept.drop("is_newborn").unionByName(
+    return kept.drop("is_newborn")
+
+
+def replace_newborns(days: DataFrame, spans: DataFrame, settings: Settings) -> DataFrame:
+    """Drops newborn cases and adds their flat-rate days."""
+    return without_cases(days, spans).unionByName(
         newborn_days(spans, settings), allowMissingColumns=True
     )

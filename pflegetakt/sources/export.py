@@ -8,6 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pflegetakt.plans.staffing import Staffing
 
+# Names of the reports.
+WARD_DAYS = "ppr_ergebnis"
+MONTHLY = "ppr_bericht"
+MISSING = "fehlende_daten"
+WARD_MONTHS = "personalbedarf_station_monat"
+CONTROLS = "Steuerung"
+NIGHT = "Nachtdienst"
+
 
 def run_folder(target: str, started: dt.datetime | None = None) -> str:
     """Folder of one run; its name carries the time."""
@@ -15,9 +23,12 @@ def run_folder(target: str, started: dt.datetime | None = None) -> str:
     return f"{target.rstrip('/')}/run_ts={started:%Y-%m-%d_%H-%M-%S}"
 
 
-def _write(df: DataFrame, folder: str, report: str) -> None:
+def _write(df: DataFrame, folder: str, report: str) -> DataFrame:
+    """Computes a report once, as Parquet; the CSV is made from what was written."""
     df.write.mode("overwrite").parquet(f"{folder}/{report}/parquet")
-    df.write.mode("overwrite").csv(f"{folder}/{report}/csv", sep=";", header=True)
+    stored = read_report(df.sparkSession, folder, report)
+    stored.write.mode("overwrite").csv(f"{folder}/{report}/csv", sep=";", header=True, escape='"')
+    return stored
 
 
 def read_report(spark: SparkSession, folder: str, report: str) -> DataFrame:
@@ -33,16 +44,23 @@ def export_reports(
     written first and read back, so the patient-day pipeline runs once, and a lost
     executor costs at most a small aggregate of stored rows.
     """
-    days = f"{folder}/ppr_ergebnis"
-    staffing.ward_days.write.mode("overwrite").parquet(f"{days}/parquet")
-    stored = read_report(spark, folder, "ppr_ergebnis")
-    stored.write.mode("overwrite").csv(f"{days}/csv", sep=";", header=True)
-
-    _write(staffing.monthly_report(stored), folder, "ppr_bericht")
-    _write(staffing.missing_report(stored), folder, "fehlende_daten")
-    _write(staffing.ward_month_total(stored), folder, "personalbedarf_station_monat")
+    stored = _write(staffing.ward_days, folder, WARD_DAYS)
+    monthly = staffing.in_report_order(staffing.monthly_report(stored))
+    # one file, as the rows are few and their order is part of the report
+    report = _write(monthly.coalesce(1), folder, MONTHLY)
+    _write(staffing.missing_report(stored), folder, MISSING)
+    _write(staffing.ward_month_total(report=report), folder, WARD_MONTHS)
+    checks = {
+        "check_stays": staffing.stay_checks(),
+        "check_newborns": staffing.newborn_checks(),
+        "rejected_stays": staffing.rejected_stays().drop("ord"),
+        "rejected_newborns": staffing.rejected_newborns(),
+        "split_wards": staffing.split_wards(),
+    }
+    for name, check in checks.items():
+        _write(check, folder, name)
     if controls:
-        _write(staffing.inputs.controls, folder, "Steuerung")
+        _write(staffing.inputs.controls, folder, CONTROLS)
         if staffing.inputs.night is not None:
-            _write(staffing.inputs.night, folder, "Nachtdienst")
+            _write(staffing.inputs.night, folder, NIGHT)
     return folder

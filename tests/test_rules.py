@@ -10,7 +10,7 @@ from pflegetakt.functions.dates import parse_clock, parse_day, parse_moment_day
 from pflegetakt.functions.missing import if_known, key_text, key_value, strict_mean, strict_sum
 from pflegetakt.functions.numbers import all_to_number, parse_decimal_comma, to_number
 from pflegetakt.operators.rows import keep_last
-from pflegetakt.plans import patient_days, reports, ward_days
+from pflegetakt.plans import patient_days, reports, ward_days, workload
 
 
 def day(text):
@@ -324,7 +324,7 @@ def test_report_order_and_labels(spark):
             stay("q", "g", "CH3", "2024-02-01", "2024-02-02", 2),
         ],
     )
-    report = run.monthly_report()
+    report = run.in_report_order(run.monthly_report())
     got = [(r.Station2, r.Monat, r.Schicht, r.Station_GynGeb) for r in report.collect()]
     assert got == [
         ("CH13", 2, "Tag", "nein"),
@@ -538,3 +538,33 @@ def test_older_master_groups_without_the_quota(spark):
     run = hospital(spark, wards=wards)
     older = ward_days.ward_master(run.inputs.wards, run.settings, with_quota=False)
     assert rows(older, "Station2", "betten") == [("CH13", 38.0)]
+
+
+@pytest.mark.parametrize("text", ["60d", "60f", "NaN", "Infinity", "-Infinity", "1e", "0x1p3", "1,2,3", "", "."])
+def test_texts_that_are_no_numbers(spark, text):
+    assert one(spark, parse_decimal_comma(F.col("t")), t=text) is None
+    assert one(spark, to_number(F.col("t")), t=text) is None
+
+
+def test_dots_that_group_nothing_are_decimal_points(spark):
+    assert one(spark, parse_decimal_comma(F.col("t")), t="1.5") == 1.5
+    assert one(spark, parse_decimal_comma(F.col("t")), t="-1.234.567,5") == -1234567.5
+
+
+def test_fractional_night_keys_match_no_census(spark):
+    run = hospital(
+        spark,
+        [stay("p", "f", "IN1", "2024-02-01", "2024-02-02", 1)],
+        night=[(0.0, 1.0, 2.0, 3.0), (1.0, 7.0, 8.0, 9.0), (1.6, 70.0, 80.0, 90.0)],
+    )
+    assert rows(run.night_lookup(), "Minuten_nacht", order="Tag") == [(7.0,), (1.0,)]
+
+
+def test_rejected_newborns_are_kept_apart(spark):
+    births = spark.createDataFrame(
+        [("a", "2024-01-01", "2024-01-02"), ("b", None, "2024-01-02"), ("c", "2024-01-01", None), ("d", "2024-01-03", "2024-01-02"), ("e", None, None)],
+        "case_id string, birth string, discharge string",
+    ).selectExpr("case_id", "cast(birth as timestamp) as birth", "cast(discharge as timestamp) as discharge")
+    assert rows(workload.rejected_newborns(births), "case_id") == [("b",), ("c",), ("d",), ("e",)]
+    assert tuple(workload.newborn_checks(births).first()) == (1, 2, 1, 1)
+    assert workload.newborn_spans(births).count() == 1
