@@ -252,10 +252,13 @@ ORACLE: dict[str, str] = {
     "base_value": _sql(f"select {_DAY_KEYS}, iso, pflegegrundwert from rated"),
     "impute_ward_mean": _sql(f"select {_DAY_KEYS}, code, imputed, {_r('wert', 'wert')} from imputed"),
     "stay_checks": _sql("""
-        select count(*) filter (end_day >= begin_day) as counted, count(*) filter (end_day is null) as open,
-               count(*) filter (end_day < begin_day) as reversed
-        from (select cast(begin_ts as date) as begin_day, cast(end_ts as date) as end_day from fx_stays
-              where ward is not null and begin_ts >= timestamp '2024-01-01 00:00:00')"""),
+        select count(*) filter (end_day >= begin_day) as counted,
+               count(*) filter (begin_day is not null and end_day is null) as open,
+               count(*) filter (end_day < begin_day) as reversed,
+               count(*) filter (begin_day is null) as without_begin
+        from (select cast(case when ord % 11 <> 0 then begin_ts end as date) as begin_day,
+                     cast(end_ts as date) as end_day from fx_stays
+              where ward is not null and (ord % 11 = 0 or begin_ts >= timestamp '2024-01-01 00:00:00'))"""),
     "newborn_checks": _sql("""
         select count(*) filter (b <= d) as counted, count(*) filter (b is null) as without_birth,
                count(*) filter (b is not null and d is null) as without_discharge, count(*) filter (b > d) as reversed

@@ -189,10 +189,20 @@ def impute_ward_mean(rated: DataFrame, sizes: StaySizes, settings: Settings) ->
 
 
 def stay_checks(stays: DataFrame, settings: Settings) -> DataFrame:
-    """How many admitted stays count, are still open, or end before they begin."""
-    begin, end = F.col("begin_day"), F.col("end_day")
-    return admitted_stays(stays, settings).agg(
-        F.count_if(begin <= end).alias("counted"),
-        F.count_if(end.isNull()).alias("open"),
-        F.count_if(begin > end).alias("reversed"),
+    """How many admitted stays count, are still open, or end before they begin.
+
+    A begin that is missing or could not be parsed is no admission of any period; such stays
+    on a ward are counted apart.
+    """
+    if settings.require_ward:
+        stays = stays.filter(F.col("ward").isNotNull())
+    begin, end = F.col("begin_ts").cast("date"), F.col("end_ts").cast("date")
+    admitted = begin.isNotNull()
+    if settings.admitted_from is not None:
+        admitted = F.col("begin_ts") >= F.lit(settings.admitted_from)
+    return stays.agg(
+        F.count_if(admitted & (begin <= end)).alias("counted"),
+        F.count_if(admitted & end.isNull()).alias("open"),
+        F.count_if(admitted & (begin > end)).alias("reversed"),
+        F.count_if(begin.isNull()).alias("without_begin"),
     )

@@ -180,7 +180,7 @@ def test_stays_that_do_not_count(spark):
     )
     assert rows(patient_days.with_ids(run.valid_stays), "pid") == [("e",)]
     assert rows(run.rejected_stays(), "pid") == [("d",)]
-    assert rows(run.stay_checks(), "counted", "open", "reversed") == [(1, 1, 1)]
+    assert rows(run.stay_checks(), "counted", "open", "reversed", "without_begin") == [(1, 1, 1, 1)]
     everything = hospital(
         spark,
         [
