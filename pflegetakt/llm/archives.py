@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_folder, stored
+from .common import new_folder, small_side, stored
 
 # Fixed values of the format.
 MAGIC = "WARC/1.1\r\n"
@@ -31,7 +31,8 @@ def deduplicated(
     others revisit it; smaller ones all are responses. Null payloads are empty. Rows without an
     id are responses of their own unless a row with an id has their payload; of rows equal in id
     and payload each is a response if one is. Groups are found from narrow rows, combined before
-    the shuffle; a payload that a third of the rows share meets one row, which Spark splits.
+    the shuffle; where they are few, payloads are not shuffled at all, else a payload that a
+    third of the rows share meets one row, which Spark splits.
     """
     content = F.coalesce(payload, F.lit(""))
     carry = carry or []
@@ -39,7 +40,7 @@ def deduplicated(
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
     narrow = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.count("*").alias("n"), F.min("id").alias("first"))
     shared = stored(narrow.where("n > 1 and first is not null").select("payload_digest", "first"), "payloads")
-    joined = rows.join(shared, "payload_digest", "left")
+    joined = rows.join(small_side(shared), "payload_digest", "left")
     again = (F.col("payload_bytes") >= least_bytes) & F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     return joined.select(
         "id",
@@ -83,29 +84,19 @@ def write_archives(records: DataFrame, uri: Column, path: str) -> None:
     body.write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
-def pieces(spark: SparkSession, path: str) -> DataFrame:
-    """(file, offset, value): archives cut at every magic; `offset` is that of the magic.
+def _scan(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, seq, value): archives cut at every magic; byte ranges are read by different tasks.
 
-    A file's byte ranges are read by different tasks. A range's first piece begins where the
-    range before it ended, so offsets are sums of lengths: within a range by a window, across
-    a file's ranges by another over one row a range.
+    The numbering follows from the files and Spark's cutting of them, so a second scan in one
+    session gives the same.
     """
     raw = spark.read.option("lineSep", MAGIC).text(path)
-    where = F.struct("_metadata.file_path", "_metadata.file_block_start")
-    own = raw.select(
-        where["file_path"].alias("file"),
-        where["file_block_start"].alias("block"),
+    return raw.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("seq"),
         "value",
-        (F.octet_length("value") + len(MAGIC)).cast("long").alias("size"),
     )
-    own = stored(own, "pieces")
-    blocks = own.groupBy("file", "block").agg(F.sum("size").alias("total"))
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = blocks.select("file", "block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("file", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    placed = own.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0))).join(bases, ["file", "block"])
-    return placed.select("file", (F.col("base") + F.col("inner") - len(MAGIC)).alias("offset"), "value")
 
 
 def _field(header: Column, name: str) -> Column:
@@ -114,31 +105,46 @@ def _field(header: Column, name: str) -> Column:
     return F.when(found != "", F.trim(found))
 
 
-def candidates(cut: DataFrame) -> DataFrame:
-    """(file, offset, next, header, body_at, length): what could be a record, by its own header.
+def pieces(scan: DataFrame) -> DataFrame:
+    """(file, block, seq, offset, held, header, length): every piece's place and what its header says.
 
-    `next` is the offset of the record that should follow. Pieces without a header's end or a
-    length are no candidates.
+    `offset` is that of the piece's magic, `held` its bytes; header and length are null where
+    there is no header's end or no length. A byte range's first piece begins where the range
+    before it ended, so offsets are sums of sizes: within a range by a window, over a file's
+    ranges by another with one row a range. Payloads stay out of the shuffle.
     """
     end = F.instr("value", END)
-    header = F.substring("value", F.lit(1), end - 1)
-    own = cut.where((F.col("offset") >= 0) & (end > 0)).withColumn("header", header)
-    size = _field(F.col("header"), "Content-Length")
-    own = own.withColumn("length", F.when(size.rlike("^[0-9]{1,18}$"), size.cast("long")))
-    own = own.where(F.col("length").isNotNull())
-    body_at = F.col("offset") + len(MAGIC) + F.octet_length("header") + len(END)
-    own = own.withColumn("body_at", body_at.cast("long"))
-    return own.select("file", "offset", (F.col("body_at") + F.col("length") + len(END)).alias("next"), "header", "body_at", "length")
+    header = F.when(end > 0, F.substring("value", F.lit(1), end - 1))
+    size = _field(header, "Content-Length")
+    length = F.when(size.rlike("^[0-9]{1,9}$"), size.cast("long"))
+    own = scan.select("file", "block", "seq", F.octet_length("value").cast("long").alias("held"), header.alias("header"), length.alias("length"))
+    own = stored(own.withColumn("header", F.when(F.col("length").isNotNull(), F.col("header"))), "pieces")
+    blocks = own.groupBy("file", "block").agg(F.sum(F.col("held") + len(MAGIC)).alias("total"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = blocks.select("file", "block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("file", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    placed = own.withColumn("inner", F.coalesce(F.sum(F.col("held") + len(MAGIC)).over(within), F.lit(0))).join(bases, ["file", "block"])
+    return placed.withColumn("offset", F.col("base") + F.col("inner") - len(MAGIC)).drop("base", "inner")
+
+
+def candidates(cut: DataFrame) -> DataFrame:
+    """(file, block, seq, offset, held, header, length, next): pieces that could be records, by their own headers.
+
+    `next` is the offset of the record that should follow, always a later one.
+    """
+    own = cut.where((F.col("offset") >= 0) & F.col("length").isNotNull())
+    return own.withColumn("next", F.col("offset") + len(MAGIC) + F.octet_length("header") + 2 * len(END) + F.col("length"))
 
 
 def reachable(links: DataFrame) -> DataFrame:
     """(file, offset) of candidates that a chain of `next` offsets reaches from a file's offset 0.
 
     Pointer jumping: each round doubles the length of every pointer, and marks what marked
-    candidates point to. So a chain of n records takes log2(n) rounds. Links and marks are
-    written to the shared folder each round.
+    candidates point to. So a chain of n records takes log2(n) rounds. Pointers that do not lead
+    forward are dropped. Links and marks are written to the shared folder each round.
     """
-    known = links.select("file", "offset")
+    links = links.where(F.col("next") > F.col("offset"))
+    known = stored(links.select("file", "offset"), "known")
     jumps = links.select("file", "offset", "next").join(known.select("file", F.col("offset").alias("next")), ["file", "next"], "left_semi")
     jumps = stored(jumps.select("file", "offset", "next"), "jumps")
     marked = stored(known.where("offset = 0"), "marked")
@@ -159,26 +165,29 @@ def _payload(value: Column) -> Column:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """(file, offset, header, payload) of every verified record of all archives below `path`.
 
-    Payloads are read as UTF-8. Empty files have no record; bytes that no chain reaches from a
-    file's start, such as what follows a broken length, are not read as records. A record whose
-    payload holds the magic spans several pieces; these are joined in order of offset.
+    Payloads (of under 1 GB) are read as UTF-8. Empty files have no record; bytes that no chain
+    reaches from a file's start, such as what follows a broken length, are not read as records.
+    A first scan places the pieces; a second takes the payloads of records that lie in one piece,
+    and joins the pieces of those whose payload holds the magic, in order of offset.
     """
-    cut = stored(pieces(spark, path).where("offset >= 0"), "cut")
-    found = stored(candidates(cut), "candidates")
-    good = stored(found.join(reachable(found), ["file", "offset"], "left_semi"), "records")
-    here = cut.join(good, ["file", "offset"])
-    complete = F.octet_length("value") >= F.octet_length("header") + len(END) + F.col("length")
-    whole = here.where(complete).select("file", "offset", "header", _payload(F.col("value")).alias("payload"))
+    scan = _scan(spark, path)
+    place = ["file", "block", "seq"]
+    cut = stored(pieces(scan), "cut")
+    found = candidates(cut)
+    good = stored(found.join(reachable(found.select("file", "offset", "next")), ["file", "offset"], "left_semi"), "records")
+    complete = F.col("held") >= F.octet_length("header") + len(END) + F.col("length")
+    whole = small_side(stored(good.where(complete).select(*place, "offset", "header", "length"), "whole"))
+    whole = scan.join(whole, place).select("file", "offset", "header", _payload(F.col("value")).alias("payload"))
 
     # the rest: find the pieces that lie inside each record, from narrow rows of such files only
-    split = stored(here.where(~complete).select("file", "offset", "next", "header", "length"), "split")
-    files = split.select("file").distinct()
-    spots = cut.select("file", "offset").join(files, "file", "left_semi")
+    split = stored(good.where(~complete).select("file", "offset", "header", "length"), "split")
+    spots = cut.where("offset >= 0").select(*place, "offset").join(split.select("file").distinct(), "file", "left_semi")
     spots = spots.join(good.select("file", "offset", F.col("offset").alias("record")), ["file", "offset"], "left")
     upto = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
-    owned = spots.select("file", "offset", F.last("record", ignorenulls=True).over(upto).alias("record"))
-    parts = cut.join(owned, ["file", "offset"]).select("file", "record", F.struct("offset", "value").alias("part"))
-    parts = parts.join(split.select("file", F.col("offset").alias("record")), ["file", "record"], "left_semi")
+    owned = spots.withColumn("record", F.last("record", ignorenulls=True).over(upto))
+    owned = owned.join(split.select("file", F.col("offset").alias("record")), ["file", "record"], "left_semi")
+    owned = small_side(stored(owned.select(*place, "offset", "record"), "owned"))
+    parts = scan.join(owned, place).select("file", F.col("record"), F.struct("offset", "value").alias("part"))
     joined = parts.groupBy("file", F.col("record").alias("offset")).agg(F.array_sort(F.collect_list("part")).alias("parts"))
     full = joined.withColumn("value", F.array_join(F.col("parts.value"), MAGIC)).join(split, ["file", "offset"])
     return whole.unionByName(full.select("file", "offset", "header", _payload(F.col("value")).alias("payload")))
