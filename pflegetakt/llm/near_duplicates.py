@@ -254,8 +254,9 @@ def keep_one_each(df: DataFrame, id_col: str, text_col: str, shingle: int = 4, b
     own = F.when(F.col(id_col).isNull() & F.col("component_id").isNull() | (F.col(id_col) == F.col("component_id")), F.col("text_key"))
     unnamed = F.when(F.col("component_id").isNull(), F.col("fingerprint"))
     kept = found.where(own.isNotNull()).withColumn("_f", unnamed).groupBy(id_col, "component_id", "_f").agg(F.min("text_key").alias("_key"))
-    kept = small_side(stored(kept.select(F.col(id_col).alias("_id"), "_key"), "kept"))
-    names = df.columns
-    keyed = df.withColumns({"_text": F.xxhash64(text_col)})
-    chosen = keyed.join(kept, keyed[id_col].eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key")), "left_semi")
-    return chosen.dropDuplicates([id_col, "_text"]).select(*names)
+    # keys that are never null, so that join and de-duplication share one shuffle of the texts
+    named = F.coalesce(F.col(id_col).cast("string"), F.lit("\0"))
+    kept = stored(kept.select(named.alias("_near_id"), F.col("_key").alias("_near_text")), "kept")
+    keyed = df.withColumns({"_near_id": named, "_near_text": F.coalesce(F.xxhash64(text_col), F.lit(0))})
+    chosen = keyed.join(kept.hint("merge"), ["_near_id", "_near_text"], "left_semi")
+    return chosen.dropDuplicates(["_near_id", "_near_text"]).select(*df.columns)
