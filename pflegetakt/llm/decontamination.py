@@ -176,9 +176,10 @@ def _counted(text: Column) -> Column:
 
 def without_contaminated(docs: DataFrame, text_col: str, found: DataFrame) -> DataFrame:
     """Leaves out the rows whose text is contaminated by what `found` has; all columns stay."""
-    words = docs.where(F.col(text_col).isNotNull()).select(*text_keys(F.col(text_col)), _counted(F.col(text_col)).alias("n_words"))
-    bad = words.join(small_side(stored(found.select(*KEY, "n_hit"), "contamination")), list(KEY))
-    bad = bad.where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
+    texts = docs.where(F.col(text_col).isNotNull()).select(*text_keys(F.col(text_col)), F.col(text_col).alias("text"))
+    # only texts with a hit are split into words
+    hit = texts.join(small_side(stored(found.select(*KEY, "n_hit"), "contamination")), list(KEY))
+    bad = hit.where(contaminated(F.col("n_hit"), _counted(F.col("text")))).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
     rows = docs.withColumns({"_k1": F.xxhash64(text_col), "_k2": F.hash(text_col)})
     return rows.join(small_side(stored(bad, "contaminated")), ["_k1", "_k2"], "left_anti").drop("_k1", "_k2")
 
