@@ -25,10 +25,12 @@ from .common import bounded_sample
 
 KINDS = ("email", "ip", "card", "phone")
 HIDDEN = 8
-WINDOW = 256
+WINDOW = 512
 OVERLAP = 48
 SNIPPET = 96
-BATCH = 2048
+BATCH = 512
+PADDING = 64
+"""Windows that a text's end cuts short are padded to a multiple of this."""
 
 Span = tuple[int, int]
 
@@ -343,10 +345,11 @@ def tag_spans(tagger: Tagger, texts: list[str | None]) -> list[dict[str, list[Sp
     """Spans per kind that the reconciled tags of each text give, unchecked."""
     found: list[dict[str, list[Span]]] = [{k: [] for k in KINDS} for _ in texts]
     runs: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    group: list[tuple[int, int, np.ndarray]] = []
+    waiting: dict[int, list[tuple[int, int, np.ndarray]]] = {}
 
-    def work() -> None:
-        codes = np.zeros((len(group), WINDOW), np.uint8)
+    def work(steps: int) -> None:
+        group = waiting.pop(steps)
+        codes = np.zeros((len(group), steps), np.uint8)
         for row, (_, _, own) in enumerate(group):
             codes[row, : len(own)] = own
         scores = emissions(tagger, np.ascontiguousarray(codes.T))
@@ -362,14 +365,14 @@ def tag_spans(tagger: Tagger, texts: list[str | None]) -> list[dict[str, list[Sp
             for a, b in zip(edges, edges[1:], strict=False):
                 if marks[a + 1]:
                     runs[i].append((at + lo + int(a), at + lo + int(b), int(marks[a + 1])))
-        group.clear()
 
     for window in _windows([t or "" for t in texts]):
-        group.append(window)
-        if len(group) == BATCH:
-            work()
-    if group:
-        work()
+        steps = -(-len(window[2]) // PADDING) * PADDING
+        waiting.setdefault(steps, []).append(window)
+        if len(waiting[steps]) == BATCH:
+            work(steps)
+    for steps in sorted(waiting):
+        work(steps)
     for i, own in enumerate(runs):
         last: list[int] | None = None
         for a, b, kind in [*sorted(own), (-1, -1, 0)]:
