@@ -87,8 +87,8 @@ def write_archives(records: DataFrame, uri: Column, path: str) -> None:
 def _scan(spark: SparkSession, path: str) -> DataFrame:
     """(file, block, seq, value): archives cut at every magic; byte ranges are read by different tasks.
 
-    The numbering follows from the files and Spark's cutting of them, so a second scan in one
-    session gives the same.
+    The pieces of a file are the same in every scan. `block` and `seq` order them within one scan
+    only: Spark cuts and packs files by the cores it has at that time.
     """
     raw = spark.read.option("lineSep", MAGIC).text(path)
     return raw.select(
@@ -99,6 +99,11 @@ def _scan(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _digest(value: str) -> Column:
+    """What a piece is known by in every scan: SHA-256 of its bytes."""
+    return F.unhex(F.sha2(value, 256))
+
+
 def _field(header: Column, name: str) -> Column:
     """A header field's value; null if it is missing."""
     found = F.regexp_extract(header, rf"(?i)(?:^|\r\n){name}:[ \t]*([^\r\n]*)", 1)
@@ -106,9 +111,10 @@ def _field(header: Column, name: str) -> Column:
 
 
 def pieces(scan: DataFrame) -> DataFrame:
-    """(file, block, seq, offset, held, header, length): every piece's place and what its header says.
+    """(file, digest, offset, held, header, length): every piece's place and what its header says.
 
-    `offset` is that of the piece's magic, `held` its bytes; header and length are null where
+    `offset` is that of the piece's magic, `held` its bytes, `digest` names its content in any
+    other scan; header and length are null where
     there is no header's end or no length. A byte range's first piece begins where the range
     before it ended, so offsets are sums of sizes: within a range by a window, over a file's
     ranges by another with one row a range. Payloads stay out of the shuffle.
@@ -117,18 +123,19 @@ def pieces(scan: DataFrame) -> DataFrame:
     header = F.when(end > 0, F.substring("value", F.lit(1), end - 1))
     size = _field(header, "Content-Length")
     length = F.when(size.rlike("^[0-9]{1,9}$"), size.cast("long"))
-    own = scan.select("file", "block", "seq", F.octet_length("value").cast("long").alias("held"), header.alias("header"), length.alias("length"))
+    held = F.octet_length("value").cast("long").alias("held")
+    own = scan.select("file", "block", "seq", _digest("value").alias("digest"), held, header.alias("header"), length.alias("length"))
     own = stored(own.withColumn("header", F.when(F.col("length").isNotNull(), F.col("header"))), "pieces")
     blocks = own.groupBy("file", "block").agg(F.sum(F.col("held") + len(MAGIC)).alias("total"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     bases = blocks.select("file", "block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("file", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     placed = own.withColumn("inner", F.coalesce(F.sum(F.col("held") + len(MAGIC)).over(within), F.lit(0))).join(bases, ["file", "block"])
-    return placed.withColumn("offset", F.col("base") + F.col("inner") - len(MAGIC)).drop("base", "inner")
+    return placed.withColumn("offset", F.col("base") + F.col("inner") - len(MAGIC)).drop("block", "seq", "base", "inner")
 
 
 def candidates(cut: DataFrame) -> DataFrame:
-    """(file, block, seq, offset, held, header, length, next): pieces that could be records, by their own headers.
+    """(file, digest, offset, held, header, length, next): pieces that could be records, by their own headers.
 
     `next` is the offset of the record that should follow, always a later one.
     """
@@ -162,22 +169,41 @@ def _payload(value: Column) -> Column:
     return F.substring(value.cast("binary"), at.cast("int"), F.col("length").cast("int")).cast("string")
 
 
+def _contents(scan: DataFrame, places: DataFrame, often: DataFrame) -> DataFrame:
+    """Columns of the stored `places` (file, digest, ...) and value: each place once, its bytes from a new scan.
+
+    Pieces are found by file and content, which no cutting by Spark changes. Contents that a file
+    has several times (`often`) are brought down to one before they meet their places.
+    """
+    key = ["file", "digest"]
+    scan = scan.select("file", _digest("value").alias("digest"), "value")
+    again = stored(often.join(places, key, "left_semi"), "again")
+    if not again.limit(1).count():
+        return scan.join(small_side(places), key)
+    once = scan.join(small_side(stored(places.join(again, key, "left_anti"), "once")), key)
+    copies = scan.join(small_side(again), key, "left_semi").groupBy(*key).agg(F.first("value").alias("value"))
+    return once.unionByName(copies.join(places, key))
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """(file, offset, header, payload) of every verified record of all archives below `path`.
 
     Payloads (of under 1 GB) are read as UTF-8. Empty files have no record; bytes that no chain
     reaches from a file's start, such as what follows a broken length, are not read as records.
     A first scan places the pieces; a second takes the payloads of records that lie in one piece,
-    and joins the pieces of those whose payload holds the magic, in order of offset.
+    and joins the pieces of those whose payload holds the magic, in order of offset. Scans are
+    matched by file and content, so executors may come and go between them; it fails if they do
+    not give all records and parts.
     """
     scan = _scan(spark, path)
-    place = ["file", "block", "seq"]
+    place = ["file", "digest"]
     cut = stored(pieces(scan), "cut")
     found = candidates(cut)
     good = stored(found.join(reachable(found.select("file", "offset", "next")), ["file", "offset"], "left_semi"), "records")
+    often = stored(cut.groupBy(*place).agg(F.count("*").alias("n")).where("n > 1").select(*place), "often")
     complete = F.col("held") >= F.octet_length("header") + len(END) + F.col("length")
-    whole = small_side(stored(good.where(complete).select(*place, "offset", "header", "length"), "whole"))
-    whole = scan.join(whole, place).select("file", "offset", "header", _payload(F.col("value")).alias("payload"))
+    whole = stored(good.where(complete).select(*place, "offset", "header", "length"), "whole")
+    whole = _contents(scan, whole, often).select("file", "offset", "header", _payload(F.col("value")).alias("payload"))
 
     # the rest: find the pieces that lie inside each record, from narrow rows of such files only
     split = stored(good.where(~complete).select("file", "offset", "header", "length"), "split")
@@ -186,11 +212,16 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     upto = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
     owned = spots.withColumn("record", F.last("record", ignorenulls=True).over(upto))
     owned = owned.join(split.select("file", F.col("offset").alias("record")), ["file", "record"], "left_semi")
-    owned = small_side(stored(owned.select(*place, "offset", "record"), "owned"))
-    parts = scan.join(owned, place).select("file", F.col("record"), F.struct("offset", "value").alias("part"))
+    owned = stored(owned.select(*place, "offset", "record"), "owned")
+    parts = _contents(scan, owned, often).select("file", F.col("record"), F.struct("offset", "value").alias("part"))
     joined = parts.groupBy("file", F.col("record").alias("offset")).agg(F.array_sort(F.collect_list("part")).alias("parts"))
     full = joined.withColumn("value", F.array_join(F.col("parts.value"), MAGIC)).join(split, ["file", "offset"])
-    return whole.unionByName(full.select("file", "offset", "header", _payload(F.col("value")).alias("payload")))
+    records = whole.unionByName(full.select("file", "offset", "header", _payload(F.col("value")).alias("payload")))
+    wanted = [good.count(), owned.count()]
+    read = [records.count(), parts.count()]
+    if read != wanted:
+        raise RuntimeError(f"archives below {path} changed while they were read: {read} records and parts found again of {wanted}")
+    return records
 
 
 def page_records(records: DataFrame) -> DataFrame:

@@ -88,3 +88,36 @@ def test_pointer_jumping_follows_long_chains(spark):
     frame = spark.createDataFrame(links, "file string, offset long, next long")
     got = sorted((r["file"], r["offset"]) for r in archives.reachable(frame).collect())
     assert got == [("f", i) for i in range(100)]
+
+
+@pytest.mark.parametrize("cores", [(1, 64), (64, 1)])
+def test_scans_may_be_cut_differently(spark, cores):
+    """More or fewer cores between the scans, as when executors come or go: splits and numbers change, records do not."""
+    names = ("spark.sql.files.minPartitionNum", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n, None) for n in names]
+    bodies = [*BODIES[:12], BODIES[11], *("page %d " % i * 500 for i in range(60))]
+    pages = [(i, "http://x", b) for i, b in enumerate(bodies)] + [(100, None, FAKE * 30 + "x" * 60_000)] * 3 + [(200, None, None)] * 5
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    try:
+        spark.conf.set(names[1], "1")
+        spark.conf.set(names[0], cores[0])
+        back = archives.round_trip(frame, "page_id", "url", "html")
+        spark.conf.set(names[0], cores[1])
+        got = back.collect()
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+    assert sorted(r["id"] for r in got) == sorted(p[0] for p in pages)
+    raw = {i: (b or "").encode() for i, _, b in pages}
+    for r in got:
+        assert (r["payload_bytes"], r["payload_digest"]) == (len(raw[r["id"]]), hashlib.sha256(raw[r["id"]]).hexdigest())
+        if r["record_type"] == "response":
+            assert r["payload"].encode() == raw[r["id"]]
+
+
+def test_records_that_a_scan_misses_are_an_error(spark, monkeypatch):
+    whole = archives._contents
+    monkeypatch.setattr(archives, "_contents", lambda scan, places, often: whole(scan.where("not value like '%page 7 %'"), places, often))
+    frame = spark.createDataFrame([(i, "http://x", f"page {i} ") for i in range(9)], "page_id long, url string, html string")
+    with pytest.raises(RuntimeError, match="8, 0.*9, 0"):
+        archives.round_trip(frame, "page_id", "url", "html")
