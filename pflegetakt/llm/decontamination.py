@@ -147,18 +147,25 @@ def proximity_hits(index: PhraseIndex, terms: DataFrame, window: int = 13, slack
 def contamination(
     docs: DataFrame, text_col: str, items: DataFrame, item_col: str, item_text_col: str, window: int = 13
 ) -> DataFrame:
-    """(k1, k2, n_hit, items): per text key the words inside any found window, and the items found.
+    """(k1, k2, n_hit, items, n_items): per text key the words inside any found window, and the items found.
 
-    Only texts with a hit are returned. Item ids are sorted as strings; items without an id are
-    left out. Null and empty items and texts have no words and match nothing; repeated rows are
-    one. Tables may be empty; further columns are not read.
+    Only texts with a hit are returned. Windows are found by an item's words, ids are joined to
+    what is found: rows that share an id are texts of their own, and those without an id count
+    for `n_hit`. Item ids are sorted as strings; `items` has those that are not null, `n_items`
+    counts null as one more. Null and empty items and texts have no words and match nothing;
+    repeated rows are one. Tables may be empty; further columns are not read.
     """
-    named = items.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("words"))
-    terms = stored(item_terms(named.distinct(), "item", "words"), "items")
+    words = items.select(F.col(item_col).cast("string").alias("id"), words_of(F.col(item_text_col)).alias("words"))
+    words = words.where(F.size("words") > 0).withColumn("words", F.array_join("words", " "))
+    named = stored(words.select(F.unhex(F.md5("words")).alias("item"), "id", "words").distinct(), "named")
+    terms = stored(item_terms(named.select("item", "words").distinct(), "item", "words"), "items")
     hits = stored(phrase_hits(build_index(docs, text_col, terms), terms, window), "hits")
     covered = hits.select(*KEY, F.explode(F.sequence("first", "last")).alias("pos")).distinct()
     n_hit = covered.groupBy(*KEY).agg(F.count("*").alias("n_hit"))
-    names = hits.groupBy(*KEY).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    ids = small_side(stored(named.select("item", "id"), "ids"))
+    found = hits.select(*KEY, "item").distinct().join(ids, "item")
+    names = found.groupBy(*KEY).agg(F.array_sort(F.collect_set("id")).alias("items"), F.max(F.col("id").isNull().cast("long")).alias("unnamed"))
+    names = names.select(*KEY, "items", (F.size("items") + F.col("unnamed")).alias("n_items"))
     return n_hit.join(names, list(KEY))
 
 
@@ -185,19 +192,20 @@ def without_contaminated(docs: DataFrame, text_col: str, found: DataFrame) -> Da
 
 
 def with_contamination(docs: DataFrame, text_col: str, found: DataFrame) -> DataFrame:
-    """Adds n_words, n_hit, items and contaminated to every row of `docs` (columns of those names are replaced).
+    """Adds n_words, n_hit, items, n_items and contaminated to every row of `docs` (columns of those names are replaced).
 
     Null and empty texts have no words and are not contaminated; repeated rows get equal answers.
     """
     keys = {"n_words": _counted(F.col(text_col)), "_k1": F.xxhash64(text_col), "_k2": F.hash(text_col)}
-    rows = docs.withColumns(keys).drop("n_hit", "items", "contaminated")
-    result = stored(found.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "n_hit", "items"), "contamination")
+    rows = docs.withColumns(keys).drop("n_hit", "items", "n_items", "contaminated")
+    result = stored(found.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "n_hit", "items", "n_items"), "contamination")
     joined = rows.join(small_side(result), ["_k1", "_k2"], "left").drop("_k1", "_k2")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return joined.withColumns(
         {
             "n_hit": n_hit,
             "items": F.coalesce("items", F.array().cast("array<string>")),
+            "n_items": F.coalesce("n_items", F.lit(0)).cast("long"),
             "contaminated": contaminated(n_hit, F.col("n_words")),
         }
     )

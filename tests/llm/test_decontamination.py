@@ -78,3 +78,40 @@ def test_proximity(spark):
     assert {r["found"] for r in near} == {10}
     key = docs.select(*dc.text_keys(docs["text"])).first()["k1"]
     assert {r["k1"] for r in near} == {key}
+
+
+def test_shared_and_missing_ids_equal_sql(spark, tmp_path):
+    """Rows of one id with different texts, one text with several ids, rows without an id."""
+    long = [f"w{i}" for i in range(13)]
+    other = [*long[:6], "x6", *long[7:]]
+    items = [
+        (1, " ".join(long)),
+        (1, " ".join(other)),
+        (2, " ".join(long)),
+        (3, "k0 " + " ".join(f"r{i}" for i in range(14))),
+        (3, "k0 " + " ".join(f"s{i}" for i in range(14))),
+        (None, "alone without id"),
+        (None, " ".join(long)),
+        (4, "alone, WITHOUT id!"),
+        (None, "nobody"),
+        (None, None),
+    ]
+    texts = [
+        " ".join(long),
+        "a " + " ".join(other) + " b",
+        "k0 " + " ".join(f"r{i}" for i in range(12)),
+        "k0 " + " ".join(f"s{i}" for i in range(12)) + " r12",
+        "alone without id",
+        "nobody knows " + "z " * 10,
+        "r0 s0 w6 x6 k0",
+        None,
+        " ".join([*long, *other]),
+    ] + ["x6 w6 r0 s1 r1"] * 3
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "b"))
+    for folder, name in (("d", "documents"), ("b", "benchmark")):
+        next((tmp_path / folder).glob("part-*")).rename(tmp_path / f"{name}.parquet")
+    frame = QUERIES["op7_decontamination"](spark, str(tmp_path))
+    assert compare(frame, connect(str(tmp_path)), ORACLE["op7_decontamination"]) == ""
+    hit = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in frame.collect()}
+    assert (hit[0], hit[1], hit[5]) == ((13, 3), (13, 1), (1, 1))
