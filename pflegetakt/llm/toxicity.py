@@ -1,9 +1,12 @@
 """Toxicity by weak supervision.
 
 Many voters, each a lexicon word or a word-prefix pattern, vote on a text by occurring in it
-often enough for its length; further voters look at the share of all lexicon words. A generative label model estimates, without looking at labels, how often each voter fires on
-toxic and on other texts and how voters depend on each other; its posteriors then train a
-linear classifier on all sharp words, patterns and shares, which scores every text.
+often enough for its length; further voters look at the share of all lexicon words. The given
+labels choose the voters: words and patterns of texts labelled toxic that are far likelier there
+than in others. A generative label model estimates how often each voter fires on toxic and on
+other texts; its EM starts from the labels, which also are one of its voters, and may depart from
+them. After EM, dependence of voters is measured among toxic texts only. Its posteriors then train
+a linear classifier on all sharp words, patterns and shares, which scores every text.
 """
 
 from __future__ import annotations
