@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, langid, lines, queries_copies, queries_models, sharding
+from . import archives, langid, lines, queries_copies, queries_models, queries_tries, sharding
 from .common import held_out, table
 
-ORACLE: dict[str, str] = {**queries_copies.ORACLE, **queries_models.ORACLE}
+ORACLE: dict[str, str] = {**queries_copies.ORACLE, **queries_models.ORACLE, **queries_tries.ORACLE}
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,4 +94,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f.__name__: f for f in (op2_line_dedup, op3_sharding, op9_warc, op10_language_id)},
     **queries_copies.QUERIES,
     **queries_models.QUERIES,
+    **queries_tries.QUERIES,
 }
