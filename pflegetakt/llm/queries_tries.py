@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import spelling
+from . import prefix_trie, spelling
 from .common import stored, table
 
 ORACLE: dict[str, str] = {}
@@ -28,20 +28,24 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # DuckDB has no CRC-32: the table of the reflected polynomial 0xEDB88320 is built by eight halvings of each byte.
-ORACLE["op11_spelling_variants"] = rf"""
-WITH RECURSIVE crc_table AS (
+_CRC_TABLE = """crc_table AS (
   SELECT list(v ORDER BY b) AS t FROM (
     SELECT b, list_reduce(list_prepend(b, range(8)), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END) AS v
-    FROM (SELECT unnest(range(256)) AS b))),
+    FROM (SELECT unnest(range(256)) AS b)))"""
+
+_CRC = """xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(range(length(hx) // 2), lambda i: ('0x' || hx[2 * i + 1:2 * i + 2])::BIGINT)),
+    lambda c, y: xor(c // 256, t[xor(c % 256, y) + 1])))"""
+
+ORACLE["op11_spelling_variants"] = rf"""
+WITH RECURSIVE {_CRC_TABLE},
 runs AS (
   SELECT doc_id, run, count(*) AS n FROM (
     SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{spelling.WORD}')) AS run
     FROM documents) GROUP BY ALL),
 hexed AS (SELECT doc_id, run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS hx FROM runs),
 hashed AS (
-  SELECT doc_id, run, n, xor(4294967295, list_reduce(
-    list_prepend(4294967295, list_transform(range(length(hx) // 2), lambda i: ('0x' || hx[2 * i + 1:2 * i + 2])::BIGINT)),
-    lambda c, y: xor(c // 256, t[xor(c % 256, y) + 1]))) AS h
+  SELECT doc_id, run, n, {_CRC} AS h
   FROM hexed, crc_table),
 words AS (
   SELECT word, sum(n)::BIGINT AS n FROM (
@@ -67,4 +71,47 @@ roots AS (SELECT word, arg_max(reached, step) AS root FROM walk GROUP BY word)
 SELECT forms.word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op11_spelling_variants,)}
+GROUP = 20
+MOST_LENT = 3
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All prefix nodes of the rebuilt conversations."""
+    numbered = stored(prefix_trie.numbered_turns(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text"), "numbered")
+    turns, members = prefix_trie.regrafted(numbered, GROUP, MOST_LENT)
+    return prefix_trie.prefix_trie(turns, members)
+
+
+ORACLE["op12_prefix_trie"] = rf"""
+WITH {_CRC_TABLE},
+turns AS (
+  SELECT conv_id, turn, coalesce(text, '') AS said, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d
+  FROM conversations WHERE conv_id IS NOT NULL),
+ordered AS (SELECT conv_id, said, d, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, d) AS pos FROM turns),
+sizes AS (
+  SELECT conv_id, conv_id - conv_id % {GROUP} AS base, n, {_CRC} % {MOST_LENT + 1} AS h
+  FROM (SELECT conv_id, max(pos) AS n, hex(encode(conv_id::VARCHAR)) AS hx FROM ordered GROUP BY conv_id), crc_table),
+members AS (SELECT s.conv_id, s.base, s.n, s.h, least(s.h, coalesce(b.n, 0)) AS taken FROM sizes s LEFT JOIN sizes b ON b.conv_id = s.base),
+rebuilt AS (
+  SELECT m.conv_id, pos AS depth, d, said FROM members m JOIN ordered o ON o.conv_id = m.base WHERE pos <= taken
+  UNION ALL SELECT m.conv_id, taken + pos - h, d, said FROM members m JOIN ordered o ON o.conv_id = m.conv_id WHERE pos > h),
+prefixes AS (
+  SELECT conv_id, depth, sha256(string_agg(d, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS key,
+    len(regexp_extract_all(said, '{prefix_trie.WORDS}')) AS words FROM rebuilt
+  UNION ALL SELECT conv_id, 0, '', 0 FROM members),
+nodes AS (SELECT depth, key, min(conv_id) AS node, count(*) AS n_convs, max(words) AS words FROM prefixes GROUP BY depth, key),
+path AS (SELECT conv_id, depth, node FROM prefixes JOIN nodes USING (depth, key)),
+linked AS (SELECT n.depth, n.node, n.n_convs, n.words, p.node AS parent FROM nodes n LEFT JOIN path p ON p.conv_id = n.node AND p.depth = n.depth - 1),
+fans AS (SELECT depth - 1 AS depth, parent AS node, count(*) AS n_children FROM linked WHERE depth > 0 GROUP BY ALL),
+own AS (SELECT l.*, coalesce(n_children, 0) AS n_children FROM linked l LEFT JOIN fans USING (depth, node)),
+sums AS (
+  SELECT p.depth, p.node, count(*) FILTER (o.n_children = 0) AS n_leaves, sum((o.n_convs - 1) * o.words)::BIGINT AS saved_tokens
+  FROM own o JOIN path p ON p.conv_id = o.node AND p.depth <= o.depth GROUP BY ALL),
+ends AS (
+  SELECT depth, node, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+  FROM path WHERE (conv_id, depth) IN (SELECT conv_id, max(depth) FROM path GROUP BY conv_id) GROUP BY ALL)
+SELECT node AS conv_id, depth::BIGINT AS depth, parent AS parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM own JOIN sums USING (depth, node) LEFT JOIN ends USING (depth, node)
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op11_spelling_variants, op12_prefix_trie)}
