@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import prefix_trie, spelling
+from . import prefix_trie, repeats, spelling
 from .common import stored, table
 
 ORACLE: dict[str, str] = {}
@@ -114,4 +114,32 @@ SELECT node AS conv_id, depth::BIGINT AS depth, parent AS parent_conv_id, n_conv
 FROM own JOIN sums USING (depth, node) LEFT JOIN ends USING (depth, node)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op11_spelling_variants, op12_prefix_trie)}
+REPEAT = 100
+
+
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document less the bytes covered by a 100-byte string that also starts earlier."""
+    docs = repeats.keyed(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return repeats.cut_repeats(docs, stored(repeats.repeat_marks(docs, REPEAT), "marks"))
+
+
+ORACLE["op13_suffix_array_dedup"] = f"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS r, doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+strings AS (
+  SELECT r, s, md5(hx[2 * s + 1:2 * s + {2 * REPEAT}]) AS m
+  FROM (SELECT r, hx, unnest(range(0, length(hx) // 2 - {REPEAT - 1})) AS s FROM d)),
+starts AS (SELECT r, s FROM (SELECT r, s, row_number() OVER (PARTITION BY m ORDER BY r, s) AS nth FROM strings) WHERE nth > 1),
+edges AS (SELECT r, s, CASE WHEN s <= lag(s) OVER (PARTITION BY r ORDER BY s) + {REPEAT} THEN 0 ELSE 1 END AS opens FROM starts),
+spans AS (
+  SELECT r, min(s) AS a, max(s) + {REPEAT} AS b
+  FROM (SELECT r, s, sum(opens) OVER (PARTITION BY r ORDER BY s ROWS UNBOUNDED PRECEDING) AS k FROM edges) GROUP BY r, k),
+gaps AS (
+  SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS gap FROM (SELECT * FROM spans UNION ALL SELECT r, length(hx) // 2, length(hx) // 2 FROM d)),
+kept AS (SELECT r, string_agg(hx[2 * gap + 1:2 * a], '' ORDER BY a, b) AS hx FROM gaps JOIN d USING (r) GROUP BY r),
+removed AS (SELECT r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY r)
+SELECT doc_id, (length(d.hx) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(kept.hx)) AS kept_sha256
+FROM d JOIN kept USING (r) LEFT JOIN removed USING (r)
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op11_spelling_variants, op12_prefix_trie, op13_suffix_array_dedup)}
