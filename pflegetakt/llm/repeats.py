@@ -13,9 +13,9 @@ before it in the same one. Texts are UTF-8 bytes; strings never cross documents.
 4. A bucket's segments with one anchor but different text are dealt into shards. Each shard sorts its
    suffixes and keeps its Burrows-Wheeler transform. The transforms are merged by refining the
    interleave of the shards: each round orders it by one more character, by a stable sort of the
-   symbols that stand before the suffixes; no suffix is compared or sorted again. Positions that
-   become different in round h have a common prefix of h - 1; what is still one block after `width`
-   rounds is a repeated interval.
+   symbols that stand before the suffixes; no suffix is compared or sorted again. Suffixes that
+   part in round h have a common prefix of h - 1; those alone from then on are left out, and what is
+   still one block after `width` rounds is a repeated interval.
 5. Within an interval all starts but the earliest are marked. Marks of a document are united, and its
    text is cut.
 
@@ -38,13 +38,15 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-GRAM = 16
+GRAM = 32
 SLICE = 1 << 20
 HASH_BITS = 44
 MOST_BITS = 29
 TABLE_SLICES = 64
 BUCKET_BYTES = 4 << 20
 SHARDS = 8
+MERGED_BYTES = 128 << 10
+"""Whole anchors are merged together up to about this size, so that a merge stays in the processor's cache."""
 HOT_SEGMENTS = 20_000
 MOST_HOT = 100_000
 GATHERED_BYTES = 64 << 20
@@ -227,28 +229,27 @@ END = 255  # no byte of UTF-8
 
 
 def suffix_order(t: np.ndarray) -> np.ndarray:
-    """Places of a shard's strings, each closed by END, in the order of their suffixes; ends stand by place."""
+    """Places of a shard's strings, each closed by END, in the order of their suffixes; equal ones by place."""
     n = len(t)
     ends = np.flatnonzero(t == END)
-    key = t.astype(np.int64)
-    key[ends] = END + np.arange(len(ends))
-    rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-    left = np.empty(n, np.int64)  # characters to the end of the string
-    left[:] = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)
-    step, longest = 1, int(left.max(initial=0)) + 1
-    order = np.argsort(rank, kind="stable")
-    while step < longest:
-        nxt = np.where(left >= step, rank[np.minimum(np.arange(n) + step, n - 1)] + 1, 0)
-        key = rank * (n + 2) + nxt
-        order = np.argsort(key, kind="stable")
+    left = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n)  # characters to the end of the string
+    wide = np.concatenate([t, np.full(8, END, np.uint8)])
+    key = np.zeros(n, np.uint64)
+    for j in range(8):
+        key = (key << np.uint64(8)) | np.where(left >= j, wide[j : j + n], np.uint8(END))
+    step, longest, place = 8, int(left.max(initial=0)) + 1, np.arange(n)
+    while True:
+        order = np.argsort(key)
         key = key[order]
-        fresh = np.empty(n, np.int64)
-        fresh[order] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-        rank = fresh
+        rank = np.empty(n, np.int64)
+        rank[order] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
         if rank[order[-1]] == n - 1:
-            break
+            return order
+        if step >= longest:
+            return np.argsort(rank * n + place)
+        # Equal ranks have equal distances to their ends, so none meets a neighbour's characters.
+        key = rank * (n + 2) + np.where(left >= step, rank[np.minimum(place + step, n - 1)] + 1, 0)
         step *= 2
-    return order
 
 
 def transform(t: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -256,63 +257,73 @@ def transform(t: np.ndarray, order: np.ndarray) -> np.ndarray:
     return np.where(order == 0, np.uint8(END), t[order - 1])
 
 
-def merged_blocks(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of the shards' suffixes by their first `rounds` characters, and where its blocks begin.
+def merged_intervals(shards: list[tuple[np.ndarray, np.ndarray]], kind: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Repeated intervals of `rounds` characters among the shards' suffixes.
 
-    interleave[i] is the shard whose next suffix stands at place i.
+    Takes places and transform of each shard, and for every place the kind of the string of `rounds`
+    characters that ends there, or -1; only strings of one kind are compared. Round h orders the
+    suffixes h characters before those ends by their first h characters: a stable sort of the symbols
+    that stand before, then one step to the left in each shard's own order. A suffix that is alone in
+    its block has no equal and is left out from then on. Returns the places that are left, interval
+    by interval, and the number of their interval.
     """
-    sizes = np.array([len(b) for b in transforms])
-    symbols = np.concatenate(transforms)
-    ends = np.array([np.count_nonzero(b == END) for b in transforms])
-    n, closed = len(symbols), int(ends.sum())
-    closing = np.repeat(np.arange(len(sizes), dtype=np.uint8), ends)  # the suffixes that are only an end stand last
-    interleave = np.repeat(np.arange(len(sizes), dtype=np.uint8), sizes)
-    begins = np.zeros(n, bool)
-    begins[:1] = True
-    slot = np.empty(n, np.int64)
-    block = np.zeros(n, np.int32)
-    for _ in range(rounds):
-        slot[np.argsort(interleave, kind="stable")] = np.arange(n)
+    places = np.concatenate([order for order, _ in shards])
+    symbols = np.concatenate([before for _, before in shards])
+    steps, base = [], 0
+    for order, before in shards:
+        step = np.empty(len(order), np.int32)
+        step[np.argsort(before, kind="stable")] = np.arange(base, base + len(order), dtype=np.int32)
+        steps.append(step)
+        base += len(order)
+    left = np.concatenate(steps)  # where the suffix one character longer stands in the order of its shard
+    kinds = kind[places]
+    slot = np.flatnonzero(kinds >= 0).astype(np.int32)
+    slot = slot[np.argsort(kinds[slot], kind="stable")]
+    block = kinds[slot]
+    for h in range(1, rounds + 1):
         before = symbols[slot]
         order = np.argsort(before, kind="stable")
-        interleave = interleave[order]
-        interleave[n - closed :] = closing
-        moved = block[order]
-        begins[1:] = moved[1:] != moved[:-1]
-        edges = np.cumsum(np.bincount(before, minlength=256))
-        begins[edges[edges < n]] = True
-        begins[n - closed :] = True  # ends are all different
-        fresh = np.cumsum(begins, dtype=np.int32)
-        if fresh[-1] == block[-1] + 1 == n:
-            break
-        block = fresh - 1
-    return interleave, begins
-
-
-def repeated(texts: list[bytes], width: int, shards: int = SHARDS) -> tuple[np.ndarray, np.ndarray]:
-    """(text, place) of every string of `width` bytes that also starts in an earlier text of the list.
-
-    No text may hold one string twice.
+        moved, before = block[order], before[order]
+        begins = np.ones(len(slot) + 1, bool)
+        begins[1:-1] = (moved[1:] != moved[:-1]) | (before[1:] != before[:-1])
+        slot = left[slot[order]]
+        if h % 8 == 0 or h == 4 or h == rounds:
+            several = ~(begins[:-1] & begins[1:])
+            slot, begins = slot[several], begins[:-1][several]
+        else:
+            begins = begins[:-1]
+        block = np.cumsum(begins, dtype=np.int32)
+    return places[slot], block
+
+
+def repeated(texts: list[bytes], kinds: list[int], width: int, shards: int = SHARDS) -> tuple[np.ndarray, np.ndarray]:
+    """(text, place) of every string of `width` bytes that also starts in an earlier text of its kind.
+
+    No text may hold one string twice. Texts of a kind are dealt over the shards in turn, because a
+    shard without repeats is sorted in few rounds.
     """
-    edges = np.linspace(0, len(texts), min(shards, len(texts)) + 1).astype(int)
-    orders, transforms, bases, base = [], [], [], 0
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        t = np.frombuffer(b"\xff".join([*texts[a:b], b""]), np.uint8)
+    if not texts:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    dealt: list[list[int]] = [[] for _ in range(shards)]
+    turn: dict[int, int] = {}
+    for i, kind in enumerate(kinds):
+        turn[kind] = at = turn.get(kind, kind) + 1
+        dealt[at % shards].append(i)
+    sorted_shards, base = [], 0
+    for members in filter(None, dealt):
+        t = np.frombuffer(b"\xff".join([*[texts[i] for i in members], b""]), np.uint8)
         order = suffix_order(t)
-        orders.append(order + base)
-        transforms.append(transform(t, order))
-        bases.append(base)
+        sorted_shards.append((order + base, transform(t, order)))
         base += len(t)
-    interleave, begins = merged_blocks(transforms, width)
-    place = np.empty(base, np.int64)
-    place[np.argsort(interleave, kind="stable")] = np.concatenate(orders)
-    block = np.cumsum(begins)
-    lengths = np.array([len(x) for x in texts])
+    text = np.concatenate([np.array(members, np.int64) for members in dealt])
+    lengths = np.array([len(x) for x in texts])[text]
     starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-    row = np.searchsorted(starts, place, side="right") - 1
-    at = place - starts[row]
-    whole = at <= lengths[row] - width
-    row, at, block = row[whole], at[whole], block[whole]
+    kind = np.repeat(np.unique(np.array(kinds), return_inverse=True)[1][text].astype(np.int32), lengths + 1)
+    for i in range(width):
+        kind[starts + np.minimum(i, lengths)] = -1
+    place, block = merged_intervals(sorted_shards, kind, width)
+    at = np.searchsorted(starts, place, side="right") - 1
+    row, at = text[at], place - starts[at]
     if not len(row):
         return row, at
     heads = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
@@ -320,6 +331,15 @@ def repeated(texts: list[bytes], width: int, shards: int = SHARDS) -> tuple[np.n
     return row[row > earliest], at[row > earliest]
 
 
+def _mark_repeated(found: list[tuple[tuple[int, int, int], bytes, int]], width: int, marks: _Marks) -> None:
+    found.sort()
+    row, at = repeated([seg for _, seg, _ in found], [anchor for *_, anchor in found], width)
+    order = np.lexsort((at, row))
+    for r, p in zip(row[order].tolist(), at[order].tolist(), strict=True):
+        (k0, k1, first), *_ = found[r]
+        marks.add(k0, k1, first + p, first + p + width)
+
+
 def _bucket_merger(width: int):
     def merge(bucket: pa.Table) -> pa.Table:
         rows = sorted(zip(*[bucket.column(c).to_pylist() for c in ("k0", "k1", "first", "anchor", "segment")], strict=True))
@@ -328,16 +348,18 @@ def _bucket_merger(width: int):
             here = (k0, k1, first)
             there = seen.setdefault((anchor, seg), here)
             if there is here:
-                by_anchor.setdefault(anchor, []).append((here, seg))
+                by_anchor.setdefault(anchor, []).append((here, seg, anchor))
             elif there != here:
                 marks.add(*here, first + len(seg))
-        several = sorted(x for group in by_anchor.values() if len(group) > 1 for x in group)
-        if several:
-            row, at = repeated([seg for _, seg in several], width)
-            order = np.lexsort((at, row))
-            for r, p in zip(row[order].tolist(), at[order].tolist(), strict=True):
-                (k0, k1, first), _ = several[r]
-                marks.add(k0, k1, first + p, first + p + width)
+        several, size = [], 0
+        for group in by_anchor.values():
+            if len(group) > 1:
+                several += group
+                size += sum(len(seg) for _, seg, _ in group)
+                if size > MERGED_BYTES:
+                    _mark_repeated(several, width, marks)
+                    several, size = [], 0
+        _mark_repeated(several, width, marks)
         columns = list(zip(*marks.rows, strict=True)) or [[], [], [], []]
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=[*KEYS, "first", "last"])
 
