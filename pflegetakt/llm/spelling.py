@@ -155,7 +155,7 @@ def near_words(words: DataFrame, min_length: int, longest: int = 4, most: int =
     """
     if longest <= SHORTEST or 2 * longest - 2 > min_length:
         raise ValueError(f"grams of {longest} characters need words of at least {2 * longest - 2} characters")
-    known = stored(words.where(F.char_length("word") >= min_length).withColumn("id", F.monotonically_increasing_id()), "words")
+    known = stored(words.select("word", "n").where(F.char_length("word") >= min_length).withColumn("id", F.monotonically_increasing_id()), "words")
     cut = known.select("id", "word").mapInArrow(_cutter(frequent_grams(known, longest, most), longest), _CUT)
     cut = stored(cut, "grams")
     sizes = cut.groupBy("gram").agg(F.count("*").alias("listed"))
@@ -190,7 +190,7 @@ def variant_groups(words: DataFrame, pairs: DataFrame, ratio: int = 5) -> DataFr
     )
     best = F.min(F.struct((-F.col("other_n")).alias("less"), F.col("other")))
     near = both.groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
-    rows = words.join(near, "word", "left")
+    rows = words.select("word", "n").join(near, "word", "left")
     takes = -F.col("best.less") >= ratio * F.col("n")
     rows = stored(
         rows.select(
