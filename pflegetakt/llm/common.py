@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +53,30 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def sent_once(spark: SparkSession, model: Any) -> Callable[[], Any]:
+    """Broadcasts a model of bounded size; a task calls the result once to get it.
+
+    The class of the model is sent with it, because executors need not have this package.
+    """
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(model))
+    return lambda: pickle.loads(shared.value)  # noqa: S301
+
+
+class Once:
+    """A table made at the first call in each task; only the recipe is sent to tasks, not the table."""
+
+    def __init__(self, make: Callable[[], Any]):
+        self.make, self.value = make, None
+
+    def __call__(self) -> Any:
+        if self.value is None:
+            self.value = self.make()
+        return self.value
+
+    def __reduce__(self):
+        return Once, (self.make,)
+
+
 def held_out(doc_id: Column) -> Column:
     """The rows no model may learn from: crc32 of the id's text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +16,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import bounded_sample
+from .common import Once, bounded_sample, sent_once
 
 ORDERS = (2, 3, 4)
 CHUNK = 1 << 18
 
 
-@lru_cache(maxsize=1)
+@Once
 def _letters() -> np.ndarray:
     """Whether each code point is a letter."""
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
@@ -208,14 +207,14 @@ def predict_language(df: DataFrame, filters: LanguageFilters, keep: list[str], t
     as ties go to the first language by name. Repeated rows get equal answers; only the named
     columns are read, an empty table gives an empty one.
     """
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(filters)  # size fixed by languages x profile
+    shared = sent_once(df.sparkSession, filters)  # size fixed by languages x profile
     own = df.select(*keep, F.col(text_col).cast("string").alias("_text"))
     kept = [f for f in own.schema.fields if f.name != "_text"]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_filters = shared()
         for batch in batches:
-            langs, scores = _decide(shared.value, batch.column(batch.num_columns - 1).to_pylist())
+            langs, scores = _decide(own_filters, batch.column(batch.num_columns - 1).to_pylist())
             columns = [*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "lang_pred", "score"])
 

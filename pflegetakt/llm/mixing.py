@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import bounded_sample, stored
+from .common import bounded_sample, sent_once, stored
 
 BUCKETS = 2048
 SHAPES = 8
@@ -109,13 +109,13 @@ def fit_domains(labelled: DataFrame, text_col: str, domain_col: str, id_col: str
 
 def predict_domains(df: DataFrame, model: DomainModel, keep: list[str], text_col: str) -> DataFrame:
     """(kept columns, n_tokens, posteriors): of every whole text; null and empty texts have no tokens."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # features x domains
+    shared = sent_once(df.sparkSession, model)  # features x domains
     own = df.select(*keep, F.col(text_col).cast("string").alias("_text"))
     kept = [f for f in own.schema.fields if f.name != "_text"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
-        weights = shared.value.weights.astype(np.float64)
+        weights = shared().weights.astype(np.float64)
         for batch in batches:
             tokens, posteriors = [], []
             for text in batch.column(batch.num_columns - 1):

@@ -13,7 +13,6 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import bounded_sample
+from .common import Once, bounded_sample, sent_once
 
 KINDS = ("email", "ip", "card", "phone")
 HIDDEN = 8
@@ -136,7 +135,7 @@ _SIGNS = "@.-+_%() :/#$&*|,\"'=[]\n\t"
 N_CLASSES = len(_SIGNS) + 6  # padding, digit, lower, upper, other letter, anything else
 
 
-@lru_cache(maxsize=1)
+@Once
 def _classes() -> np.ndarray:
     """Class of each code point: signs that matter have their own, others share one by type."""
     table = np.full(0x110000, N_CLASSES - 1, np.uint8)
@@ -494,18 +493,19 @@ def find_personal_data(df: DataFrame, tagger: Tagger, keep: list[str], text_col:
     in code points, end exclusive, by kind then start); `added` counts the network's. Null and
     empty texts have none, repeated rows get equal answers, further columns are not read.
     """
-    shared = df.sparkSession.sparkContext.broadcast(tagger)  # a few thousand numbers
+    shared = sent_once(df.sparkSession, tagger)  # a few thousand numbers
     own = df.select(*keep, F.col(text_col).cast("string").alias("_text"))
     kept = [f for f in own.schema.fields if f.name != "_text"]
     added = [*(StructField(f"n_{k}", LongType()) for k in KINDS), StructField("base_sha256", StringType()), StructField("spans", StringType()), StructField("added", LongType())]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_tagger = shared()
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 texts = batch.column(batch.num_columns - 1).to_pylist()
                 base = [base_spans(t) for t in texts]
-                more = [added_spans(t or "", b, g) for t, b, g in zip(texts, base, tag_spans(shared.value, texts), strict=True)]
+                more = [added_spans(t or "", b, g) for t, b, g in zip(texts, base, tag_spans(own_tagger, texts), strict=True)]
                 every = [{k: b[k] + m[k] for k in KINDS} for b, m in zip(base, more, strict=True)]
                 arrays = [
                     *batch.columns[:-1],

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import bounded_sample, stored
+from .common import bounded_sample, sent_once, stored
 
 PREFIXES = (4, 5, 6, 7, 8)
 PER_WORDS = 200
@@ -262,12 +262,12 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, keep: list[str], text_co
     Null and empty texts have no features and get the classifier's base score. Repeated rows get
     equal scores; the score column must not be among the kept ones; an empty table stays empty.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the number of features
+    shared = sent_once(df.sparkSession, model)  # bounded by the number of features
     own = df.select(*keep, F.col(text_col).cast("string").alias("_score_text"))
     kept = [f for f in own.schema.fields if f.name != "_score_text"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared()
         matcher = Matcher(model.features, SHARES if model.features else ())
         for batch in batches:
             hits = (matcher(_words(t.as_py())) for t in batch.column(batch.num_columns - 1))
