@@ -359,7 +359,7 @@ def newborn_days(spark, sf_dir):
 @register
 def anti_join_newborns(spark, sf_dir):
     run = staffing(spark, sf_dir)
-    kept = with_ids(workload.without_cases(run.imputed, run.newborn_spans))
+    kept = with_ids(workload.without_cases(run.imputed, run.newborn_spans, run.hot))
     return rounded(kept.select(*DAY_KEYS, "wert"), "wert")
 
 

@@ -1,129 +1,92 @@
 """Ordered scans within a case.
 
-A scan is a window per case, ordered by day. All frames run from the start of
-the window to the current row, so the cost is linear and nothing is buffered;
-"next value" is a running frame over the reversed order.
+One pass in each direction answers all questions about neighbours. All frames run from the start of
+the window to the current row, so the cost is linear and nothing is buffered; "next value" is a
+running frame over the reversed order.
 
-A placeholder case can hold a large share of all rows and would land in one task.
-``CaseOrder.pieces`` names columns that cut such a case into ordered pieces of
-bounded size. The windows then run per piece, one summary row per piece carries
-values across the cuts, and the result is the same. Rows of ordinary cases have
-missing piece columns and stay whole.
+Windows run per ``scan_key``: a case, or a piece of a large one. One summary row per piece carries
+values across the cuts, and the result is the same as for whole cases.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pflegetakt.operators.skew import HotCases, with_scan_key
 
-@dataclass(frozen=True)
-class CaseOrder:
-    key: str = "case_key"
-    order: tuple[str, ...] = ("tag", "ord", "cls_ord")
-    pieces: tuple[str, ...] = ()
-
-    @property
-    def groups(self) -> list[str]:
-        return [self.key, *self.pieces]
-
-    def _running(self, columns):
-        window = Window.partitionBy(*self.groups).orderBy(*columns)
-        return window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-    def forward(self):
-        return self._running([F.col(name).asc() for name in self.order])
-
-    def backward(self):
-        return self._running([F.col(name).desc() for name in self.order])
-
-    def lagging(self):
-        return Window.partitionBy(*self.groups).orderBy(*self.order)
+ORDER = ("tag", "ord", "cls_ord")
+STATE = ("tag", "iso", "ward", "code")
 
-    def position(self):
-        """Sort position as one comparable value."""
-        return F.struct(*self.order)
 
-    def cut_rows(self, df: DataFrame) -> DataFrame:
-        return df.filter(F.col(self.pieces[0]).isNotNull())
+def _running(*columns):
+    window = Window.partitionBy("scan_key").orderBy(*columns)
+    return window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
-    def with_carry(self, df: DataFrame, carry: DataFrame) -> DataFrame:
-        """Joins piece summaries; ``df`` is already shuffled by these columns."""
-        return df.join(carry, self.groups, "left")
 
-
-def neighbours_and_bounds(df: DataFrame, value: str, day: str, by: CaseOrder) -> DataFrame:
-    """Adds the nearest known value at or after and at or before the row, and the
-    first and last day of the case: ``next_known prev_known first_day last_day``."""
-    scanned = df.withColumns(
-        {
-            "next_known": F.last(value, ignorenulls=True).over(by.backward()),
-            "last_day": F.max(day).over(by.backward()),
-        }
-    ).withColumns(
-        {
-            "prev_known": F.last(value, ignorenulls=True).over(by.forward()),
-            "first_day": F.min(day).over(by.forward()),
-        }
-    )
-    if not by.pieces:
-        return scanned
-
-    known_at = F.when(F.col(value).isNotNull(), by.position())
-    summary = (
-        by.cut_rows(df)
-        .groupBy(*by.groups)
+def _carries(keyed: DataFrame, hot: HotCases) -> DataFrame:
+    """What the pieces of a case know of one another; a few rows of large cases only."""
+    position = F.struct(*ORDER)
+    known_at = F.when(F.col("code").isNotNull(), position)
+    pieces = (
+        keyed.filter(hot.found & F.col("piece").isNotNull())
+        .groupBy("case_key", "piece", "scan_key")
         .agg(
-            F.min_by(value, known_at).alias("head"),
-            F.max_by(value, known_at).alias("tail"),
-            F.min(day).alias("low"),
-            F.max(day).alias("high"),
+            F.min_by("code", known_at).alias("head"),
+            F.max_by("code", known_at).alias("tail"),
+            F.min("tag").alias("low"),
+            F.max("tag").alias("high"),
+            F.max_by(F.struct(*STATE), position).alias("end"),
         )
     )
-    whole = Window.partitionBy(by.key)
-    before = whole.orderBy(*by.pieces).rowsBetween(Window.unboundedPreceding, -1)
-    after = whole.orderBy(*[F.col(name).desc() for name in by.pieces]).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    carry = summary.select(
-        *by.groups,
+    whole = Window.partitionBy("case_key")
+    before = whole.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    after = whole.orderBy(F.col("piece").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    return pieces.select(
+        "scan_key",
         F.last("head", ignorenulls=True).over(after).alias("carry_next"),
         F.last("tail", ignorenulls=True).over(before).alias("carry_prev"),
         F.min("low").over(whole).alias("carry_first"),
         F.max("high").over(whole).alias("carry_last"),
-    )
-    return (
-        by.with_carry(scanned, carry)
-        .withColumns(
-            {
-                "next_known": F.coalesce("next_known", "carry_next"),
-                "prev_known": F.coalesce("prev_known", "carry_prev"),
-                "first_day": F.coalesce("carry_first", "first_day"),
-                "last_day": F.coalesce("carry_last", "last_day"),
-            }
-        )
-        .drop("carry_next", "carry_prev", "carry_first", "carry_last")
+        F.lag("end").over(whole.orderBy("piece")).alias("carry_row"),
     )
 
 
-def previous_value(df: DataFrame, value: str, out: str, by: CaseOrder) -> DataFrame:
-    """Adds the value of the previous row of the case; missing on its first row."""
-    if not by.pieces:
-        return df.withColumn(out, F.lag(value).over(by.lagging()))
+def scan_cases(days: DataFrame, hot: HotCases) -> DataFrame:
+    """Adds neighbours and bounds of each row in the order of its case.
 
-    scanned = df.withColumns(
+    ``next_known`` and ``prev_known`` are the nearest known codes at or after and at or before the row,
+    ``first_day`` and ``last_day`` the days of the case, ``before`` the previous row's day, isolation
+    mark, ward and code (missing on the first row); the code is the previous row's own, or the one it
+    is filled with: what this row sees next, else what it saw last.
+    """
+    keyed = with_scan_key(days, hot)
+    back = _running(*[F.col(name).desc() for name in ORDER])
+    forth = _running(*ORDER)
+    lagging = Window.partitionBy("scan_key").orderBy(*ORDER)
+    scanned = keyed.withColumns(
+        {
+            "next_known": F.last("code", ignorenulls=True).over(back),
+            "last_day": F.max("tag").over(back),
+        }
+    ).withColumns(
+        {
+            "prev_known": F.last("code", ignorenulls=True).over(forth),
+            "first_day": F.min("tag").over(forth),
+            "before": F.lag(F.struct(*STATE)).over(lagging),
+        }
+    )
+    carried = scanned.join(F.broadcast(_carries(keyed, hot)), "scan_key", "left").withColumns(
         {
-            out: F.lag(value).over(by.lagging()),
-            "piece_row": F.row_number().over(by.lagging()),
+            "next_known": F.coalesce("next_known", "carry_next"),
+            "prev_known": F.coalesce("prev_known", "carry_prev"),
+            "first_day": F.coalesce("carry_first", "first_day"),
+            "last_day": F.coalesce("carry_last", "last_day"),
+            "before": F.coalesce("before", "carry_row"),
         }
     )
-    summary = by.cut_rows(df).groupBy(*by.groups).agg(F.max_by(value, by.position()).alias("tail"))
-    along = Window.partitionBy(by.key).orderBy(*by.pieces)
-    carry = summary.select(*by.groups, F.lag("tail").over(along).alias("carry"))
-    return (
-        by.with_carry(scanned, carry)
-        .withColumn(out, F.when(F.col("piece_row") == 1, F.col("carry")).otherwise(F.col(out)))
-        .drop("piece_row", "carry")
+    filled = F.coalesce("before.code", "next_known", "prev_known").alias("code")
+    state = F.struct("before.tag", "before.iso", "before.ward", filled)
+    return carried.withColumn("before", F.when(F.col("before").isNotNull(), state)).drop(
+        "carry_next", "carry_prev", "carry_first", "carry_last", "carry_row"
     )

@@ -37,10 +37,23 @@ def control_scalars(controls: DataFrame, keys: Mapping[str, str]) -> dict[str, C
     return {short: row.getField(short) for short in keys}
 
 
-def rate_lookup(df: DataFrame, controls: DataFrame, code: str = "code") -> DataFrame:
-    """Adds ``wert``, the minutes of the row's code; missing when there is none."""
-    rates = controls.select(F.col("kategorie").alias("rate_code"), F.col("wert"))
-    return df.join(rates, F.col(code).eqNullSafe(F.col("rate_code")), "left").drop("rate_code")
+def rate_lists(controls: DataFrame) -> DataFrame:
+    """Minutes of each category of the control table, in its order.
+
+    A category may stand there twice; a row of that category then counts once for each. Their order
+    is that of the table's ``ord`` column, or by minutes where it has none.
+    """
+    order = ["ord"] if "ord" in controls.columns else []
+    rows = F.sort_array(F.collect_list(F.struct(*order, "wert")))
+    return controls.groupBy(F.col("kategorie").alias("rate_code")).agg(
+        F.transform(rows, lambda row: row["wert"]).alias("rates")
+    )
+
+
+def rate_lookup(df: DataFrame, lists: DataFrame, code: Column, out: str) -> DataFrame:
+    """Adds the list of minutes of a code; missing when there is none."""
+    renamed = lists.withColumnRenamed("rates", out)
+    return df.join(renamed, code.eqNullSafe(F.col("rate_code")), "left").drop("rate_code")
 
 
 def merged_ward(ward: Column, merge: Mapping[str, str]) -> Column:

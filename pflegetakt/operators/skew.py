@@ -1,105 +1,93 @@
-"""Size check of the stays, made once before a plan is built.
+"""Large cases, cut into ordered pieces.
 
-One small job over three columns of the stays, without expanding them. It decides
-two things whose wrong choice would hurt at scale: whether a case is too large
-for one task, and whether the ward means are few enough to broadcast.
+A placeholder case can hold a large share of all rows and would land in one task. Such cases are
+found, sampled and cut inside the plan: nothing is counted or written while a plan is built.
+
+A case is large above ``max_case_days`` days and above one in ``MOST_HOT`` of all days, so there are
+fewer than ``MOST_HOT`` of them whatever the data. Days of their stays are sampled by a hash, and every
+``SAMPLES``-th sampled position (day, row order) starts a new piece: pieces hold about half the limit,
+and all large cases together have at most some 2 * ``MOST_HOT``. Positions are only compared, so the row
+order can be a number, a text or a struct.
 """
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType, StructType
 
-from pflegetakt.operators.case_scan import CaseOrder
 from pflegetakt.settings import Settings
 
-# Stays of one piece come from a block of this many consecutive order numbers.
-_BLOCK_BITS = 20
+MOST_HOT = 2_000
+SAMPLES = 64
+_SEARCH_BITS = 14
 
 
 @dataclass(frozen=True)
-class StaySizes:
-    """``hot_cases`` is a table of case keys, or None when no case is large."""
+class HotCases:
+    """``cuts``: case_key and its sorted first positions of pieces; ``found``: whether there is any."""
+
+    cuts: DataFrame
+    found: Column
+
 
-    hot_cases: DataFrame | None
-    hot_count: int
-    wards: int
+def _days() -> Column:
+    return F.date_diff("end_day", "begin_day") + 1
 
 
-def measure_stays(spans: DataFrame, settings: Settings) -> StaySizes:
-    """Counts large cases and wards in valid stays.
+def hot_cases(spans: DataFrame, settings: Settings) -> HotCases:
+    """Large cases of valid stays.
 
-    A case has at most one patient-day per stay and calendar day, so the sum of
-    stay lengths bounds its size from above. Both counts come from one scan.
+    A case has at most one patient-day per stay and calendar day, so the sum of stay lengths bounds
+    its size from above.
     """
-    days = F.sum(F.date_diff("end_day", "begin_day") + 1).alias("days")
-    is_case = F.grouping("case_key") == 0
-    groups = spans.groupingSets([["case_key"], ["ward"]], "case_key", "ward").agg(
-        days, is_case.alias("is_case")
+    total = spans.agg(F.coalesce(F.sum(_days()), F.lit(0))).scalar()
+    limit = F.greatest(F.lit(settings.max_case_days), F.floor(total / MOST_HOT))
+    sizes = spans.groupBy("case_key").agg(F.sum(_days()).alias("days")).withColumn("limit", limit)
+    every = F.greatest(F.lit(1), F.floor(F.col("limit") / (2 * SAMPLES)))
+    hot = sizes.filter("days > limit").select("case_key", every.alias("every"))
+    position = F.struct("tag", "ord")
+    sampled = (
+        spans.join(F.broadcast(hot), "case_key")
+        .select("case_key", "every", "ord", F.explode(F.sequence("begin_day", "end_day")).alias("tag"))
+        .filter(F.pmod(F.xxhash64("ord", "tag"), F.col("every")) == 0)
     )
-    is_hot = F.col("is_case") & (F.col("days") > settings.max_case_days)
-    found = groups.agg(
-        F.count_if(is_hot).alias("hot"), F.count_if(~F.col("is_case")).alias("wards")
-    ).first()
-    hot = None
-    if found["hot"]:
-        lengths = spans.groupBy("case_key").agg(days)
-        hot = lengths.filter(F.col("days") > settings.max_case_days).select("case_key")
-    return StaySizes(hot, found["hot"], found["wards"])
-
-
-def _order_block(df: DataFrame, order: str):
-    """Coarse value of the row order: equal or rising along it."""
-    kind = df.schema[order].dataType
-    if isinstance(kind, StructType):
-        return F.struct(*[F.col(order)[name] for name in kind.fieldNames()[:-1]])
-    if isinstance(kind, IntegralType):
-        return F.shiftright(F.col(order).cast("bigint"), _BLOCK_BITS)
-    return F.lit(0)  # no numbers to divide: a day is one piece
-
-
-def _stored(df: DataFrame) -> DataFrame:
-    """Written to the shared folder the session names and read back.
-
-    Cut cases are read several times: by the windows and by the summaries of their
-    pieces, which need few columns and only the cut rows. Without a shared folder
-    the rows are computed again for each.
-    """
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        return df
-    folder = f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/days-{uuid.uuid4()}"
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
-
-
-def cut_hot_cases(
-    days: DataFrame, sizes: StaySizes, by: CaseOrder, settings: Settings
-) -> tuple[DataFrame, CaseOrder]:
-    """Adds piece columns to the rows of large cases.
-
-    A piece is one day and one block of the row order. Order numbers are unique,
-    so its size is bounded whatever the case holds.
-    """
-    if sizes.hot_cases is None:
-        return days, by
-    hot = sizes.hot_cases.select(F.col("case_key").alias("hot_key"))
-    if sizes.hot_count <= settings.max_broadcast_hot_cases:
-        hot = F.broadcast(hot)
-    is_hot = F.col("hot_key").isNotNull()
-    cut = (
-        days.join(hot, F.col("case_key") == F.col("hot_key"), "left")
-        .withColumns(
-            {
-                "piece_day": F.when(is_hot, F.col("tag")),
-                "piece_block": F.when(is_hot, _order_block(days, "ord")),
-            }
-        )
-        .drop("hot_key")
+    positions = sampled.groupBy("case_key").agg(F.sort_array(F.collect_list(position)).alias("positions"))
+    nth = F.filter("positions", lambda _, i: i % SAMPLES == SAMPLES - 1)
+    cuts = positions.select("case_key", nth.alias("cuts"))
+    return HotCases(cuts, hot.agg(F.count(F.lit(1)) > 0).scalar())
+
+
+def _piece(cuts: Column, position: Column) -> Column:
+    """Number of cuts at or before the position, by halving steps."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(_SEARCH_BITS))])
+    return F.aggregate(
+        steps,
+        F.lit(0),
+        lambda at, step: F.when(F.get(cuts, at + step - 1) <= position, at + step).otherwise(at),
+    )
+
+
+def _scan_key(case_key: Column, piece: Column) -> Column:
+    """An ordinary case's own key; keys of pieces begin with a sign that no case key begins with."""
+    return F.concat(F.lit("#"), piece.cast("string"), F.lit(":"), case_key)
+
+
+def with_scan_key(days: DataFrame, hot: HotCases) -> DataFrame:
+    """Adds ``scan_key``, the key of a case or of a piece of a large one, and ``piece``."""
+    marked = days.join(F.broadcast(hot.cuts), "case_key", "left")  # fewer than MOST_HOT rows
+    piece = F.when(F.col("cuts").isNotNull(), _piece(F.col("cuts"), F.struct("tag", "ord")))
+    marked = marked.withColumn("piece", piece).drop("cuts")
+    key = F.coalesce(_scan_key(F.col("case_key"), F.col("piece")), F.col("case_key"))
+    return marked.withColumn("scan_key", key)
+
+
+def scan_keys(cases: DataFrame, hot: HotCases) -> DataFrame:
+    """All ``scan_key`` values of the given cases, to meet days on the shuffle of their windows."""
+    marked = cases.join(F.broadcast(hot.cuts), "case_key", "left")
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.size("cuts")), lambda p: _scan_key(F.col("case_key"), p)
     )
-    return _stored(cut), CaseOrder(by.key, by.order, ("piece_day", "piece_block"))
+    keys = F.when(F.col("cuts").isNull(), F.array("case_key")).otherwise(pieces)
+    return marked.select("case_key", F.explode(keys).alias("scan_key"))

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from pflegetakt.functions.dates import parse_day
 from pflegetakt.functions.missing import if_known, key_text, key_value
-from pflegetakt.operators.case_scan import CaseOrder, neighbours_and_bounds
-from pflegetakt.operators.lookups import rate_lookup
+from pflegetakt.operators.case_scan import scan_cases
+from pflegetakt.operators.lookups import rate_lists, rate_lookup
 from pflegetakt.operators.rows import (
     expand_days,
     forward_spans,
@@ -18,7 +18,7 @@ from pflegetakt.operators.rows import (
     match_prefix,
     reversed_spans,
 )
-from pflegetakt.operators.skew import StaySizes
+from pflegetakt.operators.skew import HotCases
 from pflegetakt.settings import Settings
 
 
@@ -142,9 +142,9 @@ def attach_classifications(master: DataFrame, classified: DataFrame) -> DataFram
 # Imputation
 
 
-def fill_categories(days: DataFrame, by: CaseOrder) -> DataFrame:
+def fill_categories(days: DataFrame, hot: HotCases) -> DataFrame:
     """Missing categories from the next known one of the case, else the previous."""
-    scanned = neighbours_and_bounds(days, "code", "tag", by)
+    scanned = scan_cases(days, hot)
     kept = [name for name in scanned.columns if name not in ("code", "next_known", "prev_known")]
     return scanned.select(
         *kept,
@@ -154,24 +154,62 @@ def fill_categories(days: DataFrame, by: CaseOrder) -> DataFrame:
 
 
 def rate_days(
-    filled: DataFrame, controls: DataFrame, control: Mapping[str, Column]
+    filled: DataFrame, controls: DataFrame, control_row: Column, control: Mapping[str, Column]
 ) -> DataFrame:
-    """Adds minutes by category, the base value and the imputation flags."""
-    return rate_lookup(filled, controls).withColumns(
-        {
-            "pflegegrundwert": if_known(F.col("iso") == 1, control["raised_base"], control["base"]),
-            "imputed": F.col("code_own").isNull().cast("int"),
-            "imputed_after_fill": F.col("wert").isNull().cast("int"),
-        }
+    """Adds minutes by category, the base value and the imputation flags.
+
+    ``control_row`` becomes the column ``control`` that ``control`` reads from: one subquery in the plan.
+
+    A category with several minutes gives as many rows, one after the other in the order of days;
+    ``before`` is then the row before in that order, with its minutes ``wert``.
+    """
+    lists = rate_lists(controls)
+    listed = rate_lookup(filled, lists, F.col("code"), "rates")
+    listed = rate_lookup(listed, lists, F.col("before.code"), "rates_before")
+    kept = [name for name in listed.columns if name not in ("rates_before", "before")]
+    rows = listed.select(
+        *kept,
+        "rates_before",
+        "before",
+        control_row.alias("control"),
+        F.posexplode_outer("rates").alias("rate_ord", "wert"),
+    )
+    repeated = F.struct("tag", "iso", "ward", F.get("rates", F.col("rate_ord") - 1).alias("wert"))
+    earlier = F.struct(
+        "before.tag", "before.iso", "before.ward", F.try_element_at("rates_before", F.lit(-1)).alias("wert")
     )
+    return (
+        rows.withColumn(
+            "before",
+            F.when(F.col("rate_ord") > 0, repeated).when(F.col("before").isNotNull(), earlier),
+        )
+        .drop("rates", "rates_before")
+        .withColumns(
+            {
+                "pflegegrundwert": base_value(F.col("iso"), control),
+                "imputed": F.col("code_own").isNull().cast("int"),
+                "imputed_after_fill": F.col("wert").isNull().cast("int"),
+            }
+        )
+    )
+
+
+def base_value(isolated: Column, control: Mapping[str, Column]) -> Column:
+    """Base minutes of a day, raised for an isolated patient."""
+    return if_known(isolated == 1, control["raised_base"], control["base"])
+
+
+def count_wards(spans: DataFrame) -> int:
+    return spans.select("ward").distinct().count()
 
 
-def impute_ward_mean(rated: DataFrame, sizes: StaySizes, settings: Settings) -> DataFrame:
-    """Minutes still missing become the mean of the (unmerged) ward.
+def impute_ward_mean(rated: DataFrame, wards: int, settings: Settings) -> DataFrame:
+    """Minutes still missing, of the row and of the one before, become the mean of the (unmerged) ward.
 
     The means need a pass of their own over the rated days. Isolated and other
     days are summed apart, so that pass reads the same columns as the main one and
-    Spark reuses its shuffle instead of joining twice.
+    Spark reuses its shuffle instead of joining twice. Reports do not need the rows:
+    ``totals.ward_totals`` lets the means enter after the aggregation.
     """
     isolated = F.when(F.col("iso") == 1, F.col("wert"))
     other = F.when(F.col("iso") == 0, F.col("wert"))
@@ -180,11 +218,20 @@ def impute_ward_mean(rated: DataFrame, sizes: StaySizes, settings: Settings) ->
     means = rated.groupBy(F.col("ward").alias("mean_ward")).agg(
         F.try_divide(total, known).alias("mean_wert")
     )
-    if sizes.wards <= settings.max_broadcast_wards:
+    if wards <= settings.max_broadcast_wards:
         means = F.broadcast(means)
-    kept = [name for name in rated.columns if name != "wert"]
-    return rated.join(means, F.col("ward").eqNullSafe(F.col("mean_ward")), "left").select(
-        *kept, F.coalesce("wert", "mean_wert").alias("wert")
+    means_before = means.toDF("mean_ward_before", "mean_before")
+    kept = [name for name in rated.columns if name not in ("wert", "before")]
+    minutes_before = F.coalesce("before.wert", "mean_before").alias("wert")
+    before = F.struct("before.tag", "before.iso", "before.ward", minutes_before)
+    return (
+        rated.join(means, F.col("ward").eqNullSafe(F.col("mean_ward")), "left")
+        .join(means_before, F.col("before.ward").eqNullSafe(F.col("mean_ward_before")), "left")
+        .select(
+            *kept,
+            F.coalesce("wert", "mean_wert").alias("wert"),
+            F.when(F.col("before").isNotNull(), before).alias("before"),
+        )
     )
 
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from pflegetakt.operators.case_scan import CaseOrder
-from pflegetakt.operators.lookups import control_scalars
-from pflegetakt.operators.skew import StaySizes, cut_hot_cases, measure_stays
-from pflegetakt.plans import patient_days, reports, ward_days, workload
+from pflegetakt.operators.lookups import control_row, control_scalars
+from pflegetakt.operators.skew import HotCases, hot_cases
+from pflegetakt.plans import patient_days, reports, totals, ward_days, workload
 from pflegetakt.schemas import check_columns
 from pflegetakt.settings import Settings
 
@@ -45,8 +45,8 @@ class Inputs:
 class Staffing:
     """Stages of one run.
 
-    Stages from ``imputed`` on count large cases and wards first (``sizes``). If there
-    are large cases, building the plan also writes the patient-days to the shared folder.
+    All are lazy; only ``imputed`` and the row tables behind it count the wards once while they are
+    built, because the means are then joined to every row. Ward-days and reports do not use them.
     """
 
     def __init__(self, inputs: Inputs, settings: Settings | None = None):
@@ -60,8 +60,8 @@ class Staffing:
         return patient_days.valid_stays(self.inputs.stays, self.settings)
 
     @cached_property
-    def sizes(self) -> StaySizes:
-        return measure_stays(self.valid_stays, self.settings)
+    def hot(self) -> HotCases:
+        return hot_cases(self.valid_stays, self.settings)
 
     @cached_property
     def master_days(self) -> DataFrame:
@@ -77,35 +77,35 @@ class Staffing:
     def attached(self) -> DataFrame:
         return patient_days.attach_classifications(self.master_days, self.classified_days)
 
-    @cached_property
-    def _cut(self) -> tuple[DataFrame, CaseOrder]:
-        return cut_hot_cases(self.attached, self.sizes, CaseOrder(), self.settings)
-
-    @property
-    def case_order(self) -> CaseOrder:
-        return self._cut[1]
-
     @cached_property
     def filled(self) -> DataFrame:
-        return patient_days.fill_categories(*self._cut)
+        return patient_days.fill_categories(self.attached, self.hot)
 
     @cached_property
     def rated(self) -> DataFrame:
-        return patient_days.rate_days(self.filled, self.inputs.controls, self.control)
+        return patient_days.rate_days(
+            self.filled, self.inputs.controls, self.control_row, self.control
+        )
 
     @cached_property
     def imputed(self) -> DataFrame:
-        return patient_days.impute_ward_mean(self.rated, self.sizes, self.settings)
+        wards = patient_days.count_wards(self.valid_stays)
+        return patient_days.impute_ward_mean(self.rated, wards, self.settings)
 
     # Workload
 
     @cached_property
-    def control(self):
-        return control_scalars(self.inputs.controls, self.settings.live_keys)
+    def control_row(self) -> Column:
+        return control_row(self.inputs.controls, self.settings.live_keys).scalar()
+
+    @property
+    def control(self) -> dict[str, Column]:
+        """Control values in rows that ``rate_days`` has given them."""
+        return {short: F.col("control")[short] for short in self.settings.live_keys}
 
     @cached_property
     def weighted(self) -> DataFrame:
-        return workload.weigh_days(self.imputed, self.control, self.case_order)
+        return workload.weigh_days(self.imputed, self.control)
 
     @cached_property
     def newborn_spans(self) -> DataFrame:
@@ -113,7 +113,7 @@ class Staffing:
 
     @cached_property
     def all_days(self) -> DataFrame:
-        return workload.replace_newborns(self.weighted, self.newborn_spans, self.settings)
+        return workload.replace_newborns(self.weighted, self.newborn_spans, self.hot, self.settings)
 
     # Ward-days and reports
 
@@ -123,7 +123,11 @@ class Staffing:
 
     @cached_property
     def ward_totals(self) -> DataFrame:
-        return ward_days.ward_totals(self.all_days, self.settings)
+        """The same as ``ward_days.ward_totals`` of ``all_days``, from one pass over the patient-days."""
+        marked = workload.mark_newborns(self.rated, self.newborn_spans, self.hot)
+        sums = totals.with_means(totals.ward_sums(marked, self.control, "imputed"))
+        newborns = workload.newborn_days(self.newborn_spans, self.settings)
+        return totals.ward_totals(sums, newborns, self.settings)
 
     @cached_property
     def ward_days(self) -> DataFrame:
@@ -174,11 +178,14 @@ class Staffing:
     @cached_property
     def weighted_older(self) -> DataFrame:
         days = self.imputed.drop("imputed").withColumnRenamed("imputed_after_fill", "imputed")
-        return workload.weigh_days_older(days, self.control, self.case_order)
+        return workload.weigh_days_older(days, self.control)
 
     @cached_property
     def ward_totals_older(self) -> DataFrame:
-        return ward_days.ward_totals(self.weighted_older, self.settings)
+        """The same as ``ward_days.ward_totals`` of ``weighted_older``."""
+        sums = totals.ward_sums(self.rated, self.control, "imputed_after_fill", older=True)
+        sums = totals.with_means(sums, older=True)
+        return totals.ward_totals(sums, None, self.settings)
 
     def _night(self) -> DataFrame:
         if self.inputs.night is None:

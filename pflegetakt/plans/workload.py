@@ -8,70 +8,67 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pflegetakt.functions.missing import if_known, key_text
-from pflegetakt.operators.case_scan import CaseOrder, previous_value
 from pflegetakt.operators.rows import expand_days, forward_spans
+from pflegetakt.operators.skew import HotCases, scan_keys
+from pflegetakt.plans.patient_days import base_value
 from pflegetakt.settings import Settings
 
 
-def _admission(control: Mapping[str, Column]) -> Column:
+def admission(day: Column, control: Mapping[str, Column]) -> Column:
     """Admission minutes on the first day of a case."""
-    return if_known(F.col("tag") == F.col("first_day"), control["admission"], F.lit(0.0))
+    return if_known(day == F.col("first_day"), control["admission"], F.lit(0.0))
 
 
-def _discharge(control: Mapping[str, Column]) -> Column:
-    """A share of the previous day's minutes on the last day of a case."""
-    share = F.col("vortag") * control["discharge"]
+def fixed_minutes(day: Column, isolated: Column, control: Mapping[str, Column]) -> Column:
+    """Minutes of a day that do not depend on the category."""
+    return base_value(isolated, control) + admission(day, control)
+
+
+def _discharge(minutes_before: Column, control: Mapping[str, Column]) -> Column:
+    """A share of the previous row's minutes on the last day of a case."""
+    share = minutes_before * control["discharge"]
     return if_known(F.col("tag") == F.col("last_day"), share, F.lit(0.0))
 
 
-def _at_midnight() -> Column:
+def at_midnight() -> Column:
     """A patient is there at midnight on all days but the last."""
     return (F.col("tag") != F.col("last_day")).cast("int")
 
 
-def weigh_days(days: DataFrame, control: Mapping[str, Column], by: CaseOrder) -> DataFrame:
-    """Total minutes: on the last day a share of the previous day's total.
+def weigh_days(days: DataFrame, control: Mapping[str, Column]) -> DataFrame:
+    """Total minutes: on the last day a share of the previous row's total.
 
-    A case of one day has no previous total, so its total is missing.
+    A case of one row has no previous total, so its total is missing.
     """
-    totals = days.withColumns(
-        {
-            "aufnahmewert": _admission(control),
-            "tageswert": F.col("wert") + F.col("pflegegrundwert") + _admission(control),
-            "nachts_da": _at_midnight(),
-        }
-    )
-    discharge = _discharge(control)
+    before = F.col("before")
+    total_before = before["wert"] + fixed_minutes(before["tag"], before["iso"], control)
     return (
-        previous_value(totals, "tageswert", "vortag", by)
-        .withColumns(
+        days.withColumns(
             {
-                "entlasswert": discharge,
-                "gesamtwert": if_known(discharge > 0, discharge, F.col("tageswert")),
+                "aufnahmewert": admission(F.col("tag"), control),
+                "tageswert": F.col("wert") + fixed_minutes(F.col("tag"), F.col("iso"), control),
+                "nachts_da": at_midnight(),
+                "entlasswert": _discharge(total_before, control),
             }
         )
-        .drop("vortag")
+        .withColumn("gesamtwert", if_known(F.col("entlasswert") > 0, F.col("entlasswert"), F.col("tageswert")))
+        .drop("before", "control")
     )
 
 
-def weigh_days_older(days: DataFrame, control: Mapping[str, Column], by: CaseOrder) -> DataFrame:
+def weigh_days_older(days: DataFrame, control: Mapping[str, Column]) -> DataFrame:
     """Older total: base and admission minutes always count, and the discharge
-    share is taken of the previous day's category minutes alone."""
-    discharge = _discharge(control)
-    return (
-        previous_value(days, "wert", "vortag", by)
-        .withColumns(
-            {
-                "aufnahmewert": _admission(control),
-                "nachts_da": _at_midnight(),
-                "entlasswert": discharge,
-                "gesamtwert": F.col("pflegegrundwert")
-                + _admission(control)
-                + if_known(discharge > 0, discharge, F.col("wert")),
-            }
-        )
-        .drop("vortag")
-    )
+    share is taken of the previous row's category minutes alone."""
+    discharge = _discharge(F.col("before")["wert"], control)
+    return days.withColumns(
+        {
+            "aufnahmewert": admission(F.col("tag"), control),
+            "nachts_da": at_midnight(),
+            "entlasswert": discharge,
+            "gesamtwert": fixed_minutes(F.col("tag"), F.col("iso"), control)
+            + if_known(discharge > 0, discharge, F.col("wert")),
+        }
+    ).drop("before", "control")
 
 
 def _newborn_days_of(newborns: DataFrame) -> DataFrame:
@@ -132,25 +129,32 @@ def newborn_days(spans: DataFrame, settings: Settings) -> DataFrame:
         F.lit(settings.newborn_ward).alias("ward"),
         F.lit(settings.newborn_minutes).alias("gesamtwert"),
         F.lit(0).alias("imputed"),
-        _at_midnight().alias("nachts_da"),
+        at_midnight().alias("nachts_da"),
         F.lit(settings.newborn_code).alias("code"),
     )
 
 
-def without_cases(days: DataFrame, spans: DataFrame) -> DataFrame:
-    """Days of cases that are not among the newborns.
+def mark_newborns(days: DataFrame, spans: DataFrame, hot: HotCases) -> DataFrame:
+    """Adds ``is_newborn`` to the days of newborn cases.
 
-    The anti-join is written as an outer join and a null test. Catalyst would push
-    an anti-join below the case windows, and the ward means, which are taken
-    before newborns leave, could then no longer share the windows' shuffle.
+    The join meets the days on the shuffle of their windows. It is written as an outer join, because
+    Catalyst would push an anti-join below the case windows, and the ward means, which are taken
+    before newborns leave, could then no longer share that shuffle.
     """
-    marked = spans.select("case_key", F.lit(1).alias("is_newborn")).distinct()
-    kept = days.join(marked, "case_key", "left").filter(F.col("is_newborn").isNull())
-    return kept.drop("is_newborn")
+    cases = scan_keys(spans.select("case_key").distinct(), hot)
+    marks = cases.select("scan_key", F.lit(True).alias("is_newborn"))
+    return days.join(marks, "scan_key", "left")
+
+
+def without_cases(days: DataFrame, spans: DataFrame, hot: HotCases) -> DataFrame:
+    """Days of cases that are not among the newborns."""
+    return mark_newborns(days, spans, hot).filter(F.col("is_newborn").isNull()).drop("is_newborn")
 
 
-def replace_newborns(days: DataFrame, spans: DataFrame, settings: Settings) -> DataFrame:
+def replace_newborns(
+    days: DataFrame, spans: DataFrame, hot: HotCases, settings: Settings
+) -> DataFrame:
     """Drops newborn cases and adds their flat-rate days."""
-    return without_cases(days, spans).unionByName(
+    return without_cases(days, spans, hot).unionByName(
         newborn_days(spans, settings), allowMissingColumns=True
     )

@@ -58,7 +58,6 @@ class Settings:
     # Size limits that choose a physical strategy; results do not depend on them.
     max_case_days: int = 1_000_000
     max_broadcast_wards: int = 100_000
-    max_broadcast_hot_cases: int = 500_000
 
     @property
     def minutes_per_day(self) -> float:

@@ -39,17 +39,17 @@ def test_flagship_plan(stored):
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
     assert "Python" not in plan and "Pandas" not in plan
-    # Ward means and minutes read one shuffle by case.
-    case_shuffles = re.findall(r"- Exchange hashpartitioning\(case_key#\d+, \d+\)", plan)
-    assert re.search(r"ReusedExchange .*Exchange hashpartitioning\(case_key", plan)
-    # One for the patient-days, one for newborn bounds, one for the newborn list.
-    assert len(case_shuffles) <= 3, case_shuffles
+    # One pass over the patient-days: a window in each direction of the case, on one shuffle.
+    assert len(re.findall(r"Window \[[^\n]*windowspecdefinition\(scan_key", plan)) == 2
+    assert len(re.findall(r"- Exchange hashpartitioning\(scan_key#\d+, \d+\)", plan)) <= 2  # and the newborn list
+    # Ward means are windows over sums by ward and day.
+    assert len(re.findall(r"- Exchange hashpartitioning\(ward#\d+, tag#\d+, kind", plan)) == 1
 
 
 def test_windows_of_a_case_share_one_shuffle(stored):
     plan = final_plan(stored.filled)
-    assert len(re.findall(r"- Exchange hashpartitioning\(case_key", plan)) == 1
-    assert plan.count("Window [") + plan.count("Window(") >= 2
+    assert len(re.findall(r"- Exchange hashpartitioning\(scan_key", plan)) == 1
+    assert plan.count("Window [") + plan.count("Window(") == 2
 
 
 def test_classifications_join_reuses_the_patient_day_shuffle(stored):

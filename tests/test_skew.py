@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import pflegetakt.operators.skew as skew
 from hospital import RATES, classified, hospital, rows, stay
 from pflegetakt.plans.patient_days import with_ids
+from pflegetakt.plans.ward_days import ward_totals
 
 
 def busy(spark, seed, **settings):
@@ -41,18 +42,33 @@ def everything(run):
     return sorted((tuple(r) for r in days.select(*names, *values).collect()), key=repr)
 
 
-@pytest.mark.parametrize("block_bits", [3, 12, 20])
-@pytest.mark.parametrize("seed", [1, 2])
-def test_cut_cases_equal_whole_cases(spark, monkeypatch, seed, block_bits):
-    monkeypatch.setattr(skew, "_BLOCK_BITS", block_bits)
+def pieces_of(run):
+    cut = run.filled.filter("piece is not null").groupBy("scan_key").count()
+    return [r["count"] for r in cut.collect()]
+
+
+@pytest.mark.parametrize("seed,samples", [(1, 1), (2, 64)])
+def test_cut_cases_equal_whole_cases(spark, monkeypatch, seed, samples):
+    monkeypatch.setattr(skew, "SAMPLES", samples)
     whole = busy(spark, seed)
     cut = busy(spark, seed, max_case_days=30)
-    assert whole.case_order.pieces == ()
-    assert cut.sizes.hot_count >= 2
-    assert cut.case_order.pieces
+    assert pieces_of(whole) == []
+    assert len(pieces_of(cut)) >= (2 if samples == 64 else 8)
     assert everything(cut) == everything(whole)
 
 
+def test_any_comparable_row_order_cuts_cases(spark, monkeypatch):
+    """Texts and sparse numbers as row order; pieces stay few and bounded."""
+    monkeypatch.setattr(skew, "SAMPLES", 4)
+    for order in (F.concat(F.lit("z"), F.col("ord").cast("string")), F.col("ord") * 1_000_003):
+        whole, cut = busy(spark, 7), busy(spark, 7, max_case_days=30)
+        for run in (whole, cut):
+            object.__setattr__(run.inputs, "stays", run.inputs.stays.withColumn("ord", order))
+        assert everything(cut) == everything(whole)
+        sizes = pieces_of(cut)
+        assert len(sizes) > 8 and max(sizes) <= 40
+
+
 def test_reports_do_not_depend_on_the_size_limits(spark):
     def report(run):
         names = ["Station2", "Monat", "Schicht", "Anzahl_Patienten"]
@@ -60,37 +76,84 @@ def test_reports_do_not_depend_on_the_size_limits(spark):
         return sorted((tuple(r) for r in run.monthly_report().select(*names, vk).collect()), key=repr)
 
     plain = report(busy(spark, 3))
-    assert report(busy(spark, 3, max_case_days=30, max_broadcast_hot_cases=0)) == plain
+    assert report(busy(spark, 3, max_case_days=30)) == plain
     assert report(busy(spark, 3, max_broadcast_wards=0)) == plain
 
 
-def test_cut_cases_without_a_shared_folder(spark, monkeypatch):
-    monkeypatch.setattr(skew, "_stored", lambda df: df)
-    assert everything(busy(spark, 6, max_case_days=30)) == everything(busy(spark, 6))
+@pytest.mark.parametrize("seed,factor,older", [(3, 0.5, False), (8, 0.5, True), (9, -1.0, False), (9, 0.0, True)])
+def test_totals_of_sums_equal_totals_of_rows(spark, seed, factor, older):
+    """Means that enter after the aggregation give what means in the rows give."""
+    run = busy(spark, seed, max_case_days=40)
+    controls = run.inputs.controls.withColumn("wert", F.when(F.col("kategorie") == "Entlassung", factor).otherwise(F.col("wert")))
+    object.__setattr__(run.inputs, "controls", controls)
+    rows_of, sums_of = (run.weighted_older, run.ward_totals_older) if older else (run.all_days, run.ward_totals)
+    assert rows_of.filter("wert is null").count() + run.rated.filter("wert is null").count() > 0
+
+    def shown(totals):
+        names = ["Station2", "Tag", "Patienten_mitternacht", "Fehlende_Tageswerte", "Patiententage"]
+        return sorted((tuple(r) for r in totals.select(*names, F.round("ppr_tag", 6).alias("ppr_tag")).collect()), key=repr)
+
+    assert shown(sums_of) == shown(ward_totals(rows_of, run.settings))
+
+
+def test_building_reports_runs_no_job(spark):
+    run = busy(spark, 3, max_case_days=30)
+    spark.sparkContext.setJobGroup("build", "plans only")
+    try:
+        run.monthly_report()
+        run.vk_by_qualification()
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("build")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
-def test_pieces_are_bounded_by_order_blocks(spark, monkeypatch):
-    monkeypatch.setattr(skew, "_BLOCK_BITS", 3)
+def test_pieces_of_one_day_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(skew, "SAMPLES", 8)
     stays = [stay(f"p{i}", None, "IN1", "2024-02-01", "2024-02-01", i) for i in range(100)]
     run = hospital(spark, stays, max_case_days=50)
-    pieces = run.filled.groupBy(*run.case_order.groups).count()
-    assert pieces.agg(F.max("count")).first()[0] <= 8
+    sizes = pieces_of(run)
+    assert sum(sizes) == 100 and max(sizes) <= 50
     assert run.filled.count() == 100
 
 
-def test_sizes(spark):
-    run = hospital(
-        spark,
-        [
-            stay("p", "f", "IN1", "2024-02-01", "2024-02-10", 1),
-            stay("q", "g", "CH1", "2024-02-01", "2024-02-02", 2),
-            stay("q", None, "CH1", "2024-02-01", "2024-02-12", 3),
-        ],
-        max_case_days=9,
-    )
-    assert (run.sizes.hot_count, run.sizes.wards) == (2, 2)
-    assert rows(run.sizes.hot_cases, "case_key") == [("",), ("=f",)]
-    assert hospital(spark).sizes == skew.StaySizes(None, 0, 0)
+def test_large_cases_are_few(spark, monkeypatch):
+    """Above one in MOST_HOT of all days, whatever the setting."""
+    monkeypatch.setattr(skew, "MOST_HOT", 4)
+    stays = [stay(f"p{i}", f"f{i % 10}", "IN1", "2024-02-01", "2024-02-05", i) for i in range(40)]
+    stays += [stay(f"q{i}", "big", "IN1", "2024-02-01", "2024-02-05", 100 + i) for i in range(40)]
+    run = hospital(spark, stays, max_case_days=1)
+    assert [r["case_key"] for r in run.hot.cuts.select("case_key").collect()] == ["=big"]
+
+
+def test_newborns_leave_large_cases(spark, monkeypatch):
+    monkeypatch.setattr(skew, "SAMPLES", 2)
+    stays = [stay(f"p{i}", "f1", "IN1", "2024-02-01", "2024-02-03", i) for i in range(20)]
+    run = hospital(spark, stays, newborns=[("f1", "2024-02-01", "2024-02-02")], max_case_days=10)
+    assert pieces_of(run)
+    assert run.all_days.count() == 2
+    assert rows(run.ward_totals, "Station2", "Patiententage", order=["Tag"]) == [("GB2", 1), ("GB2", 1)]
+
+
+def test_a_category_that_stands_twice_counts_twice_in_order(spark):
+    """The control row's place is part of the order of days, for any partitioning."""
+    twice = [(k, v) for k, v in RATES] + [("A1", 40.0)]
+    for parts in (1, 7):
+        run = hospital(
+            spark,
+            [stay("p", "f", "IN1", "2024-02-01", "2024-02-03", 1)],
+            [classified(1, "p", "01.02.2024", "A1"), classified(2, "p", "02.02.2024", "A2"), classified(3, "p", "03.02.2024", "A1")],
+            twice,
+        )
+        numbered = run.inputs.controls.withColumn("ord", F.when(F.col("wert") == 40.0, 100).otherwise(1))
+        object.__setattr__(run.inputs, "controls", numbered.repartition(parts))
+        days = run.weighted.orderBy("tag", "rate_ord").select("tag", "wert", "entlasswert", "gesamtwert")
+        got = [(r["tag"].day, *r[1:]) for r in days.collect()]
+        # 33 base minutes, 75 on the first day; the last day takes half of the row before.
+        assert got == [
+            (1, 60.0, 0.0, 168.0), (1, 40.0, 0.0, 148.0), (2, 95.0, 0.0, 128.0), (3, 60.0, 64.0, 64.0), (3, 40.0, 46.5, 46.5),
+        ]
+        shares = rows(run.ward_totals, "ppr_tag", order=["Tag"])
+        assert shares == [(316.0,), (128.0,), (110.5,)]
 
 
 def test_results_do_not_depend_on_partitioning(spark):
