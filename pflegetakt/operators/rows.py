@@ -40,6 +40,33 @@ def reversed_spans(df: DataFrame, begin: str, end: str) -> DataFrame:
     return df.filter(F.col(begin) > F.col(end))
 
 
+def visible_spans(df: DataFrame, key: str, begin: str, end: str, order: str) -> DataFrame:
+    """Spans of days cut so that none of a key overlap; on each day the span of the last row wins.
+
+    The bounds of all spans of a key divide its time into pieces on which no span begins or ends. A
+    span is dealt into its pieces, and each piece goes to the last row. Most spans meet no other and
+    stay whole, or are cut once, so rows are about as many as spans, not days.
+
+    Of spans with equal bounds only the last can be seen, and they are combined before the shuffle:
+    a key that holds a large share of all rows is left with one row for each pair of bounds.
+    ``order`` must be unique and never null within a key; missing keys form one group.
+    """
+    rest = [name for name in df.columns if name not in (key, begin, end)]
+    last = F.max_by(F.struct(*rest), F.col(order)).alias("row")
+    latest = df.groupBy(key, begin, end).agg(last)
+    bounds = F.explode(F.array(F.col(begin), F.date_add(end, 1))).alias("bound")
+    points = df.select(key, bounds).groupBy(key).agg(F.sort_array(F.collect_set("bound")).alias("points"))
+    starts = F.filter("points", lambda p: (p >= F.col(begin)) & (p <= F.col(end)))
+    nexts = F.filter("points", lambda p: (p > F.col(begin)) & (p <= F.date_add(end, 1)))
+    pieces = (
+        latest.join(points, key)
+        .select(key, "row", F.explode(F.arrays_zip(starts.alias("start"), nexts.alias("next"))).alias("piece"))
+        .groupBy(key, F.col("piece.start").alias(begin))
+        .agg(F.max_by(F.struct("row", "piece.next"), F.col(f"row.{order}")).alias("seen"))
+    )
+    return pieces.select(key, "seen.row.*", begin, F.date_sub("seen.next", 1).alias(end))
+
+
 def expand_days(df: DataFrame, begin: str, end: str, out: str = "tag") -> DataFrame:
     """One row per calendar day of a span, both ends included."""
     kept = [name for name in df.columns if name not in (begin, end)]

@@ -14,9 +14,9 @@ from pflegetakt.operators.lookups import rate_lists, rate_lookup
 from pflegetakt.operators.rows import (
     expand_days,
     forward_spans,
-    keep_last,
     match_prefix,
     reversed_spans,
+    visible_spans,
 )
 from pflegetakt.operators.skew import HotCases
 from pflegetakt.settings import Settings
@@ -64,8 +64,12 @@ def rejected_stays(stays: DataFrame, settings: Settings) -> DataFrame:
 
 
 def master_days(spans: DataFrame) -> DataFrame:
-    """One row per patient and day; where stays overlap, the later row wins."""
-    return keep_last(expand_days(spans, "begin_day", "end_day"), ["pid_key", "tag"], "ord")
+    """One row per patient and day; where stays overlap, the later row wins.
+
+    Stays are cut to what is seen of them before they become days, so no day is compared with another.
+    """
+    seen = visible_spans(spans, "pid_key", "begin_day", "end_day", "ord")
+    return expand_days(seen, "begin_day", "end_day").select("pid_key", "tag", "case_key", "ward", "ord")
 
 
 # Classifications

@@ -60,9 +60,12 @@ def test_classifications_join_reuses_the_patient_day_shuffle(stored):
     assert (len(by_day), len(by_text)) == (2, 1), plan
 
 
-def test_deduplication_is_combined_before_the_shuffle(stored):
+def test_stays_are_cut_before_they_become_days(stored):
     plan = final_plan(stored.master_days)
     assert "partial_max_by" in plan
+    # No aggregate and no shuffle knows a day: stays are expanded last.
+    assert not re.search(r"(Aggregate|Exchange)[^\n]*tag#", plan)
+    assert len(re.findall(r"- Exchange", plan)) == 3
 
 
 def test_filters_and_columns_reach_the_scan(stored):

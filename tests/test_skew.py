@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import pflegetakt.operators.skew as skew
 from hospital import RATES, classified, hospital, rows, stay
+from pflegetakt.operators.rows import expand_days, keep_last, visible_spans
 from pflegetakt.plans.patient_days import with_ids
 from pflegetakt.plans.ward_days import ward_totals
 
@@ -165,6 +166,26 @@ def test_results_do_not_depend_on_partitioning(spark):
     assert everything(spread) == everything(whole)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_visible_spans_equal_the_last_row_of_each_day(spark, seed):
+    rng = random.Random(seed)
+    start = dt.date(2024, 1, 1)
+    spans = []
+    for ord in rng.sample(range(100_000), 300):
+        begin = start + dt.timedelta(days=rng.randrange(40))
+        end = begin + dt.timedelta(days=rng.choice([0, 1, 2, 9, 30]))
+        spans.append((rng.choice(["", "", "=p1", f"=p{rng.randrange(60)}"]), f"f{ord}", begin, end, ord))
+    frame = spark.createDataFrame(spans, "pid_key string, case_key string, begin_day date, end_day date, ord bigint")
+    for order in (F.col("ord"), F.struct(F.lit("file"), F.col("ord"))):
+        ordered = frame.withColumn("ord", order).repartition(5)
+        old = keep_last(expand_days(ordered, "begin_day", "end_day"), ["pid_key", "tag"], "ord")
+        seen = visible_spans(ordered, "pid_key", "begin_day", "end_day", "ord")
+        names = ["pid_key", "tag", "case_key", "ord"]
+        days = expand_days(seen, "begin_day", "end_day").select(*names).collect()
+        assert sorted(days) == sorted(old.select(*names).collect())
+    assert seen.count() < len(days) and visible_spans(frame.limit(0), "pid_key", "begin_day", "end_day", "ord").count() == 0
+
+
 def test_invariants(spark):
     run = busy(spark, 5)
     assert run.master_days.groupBy("pid_key", "tag").count().filter("count > 1").isEmpty()
