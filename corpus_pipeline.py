@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pflegetakt.llm import decontamination, mixing, near_duplicates, sharding, toxicity
-from pflegetakt.llm.common import new_folder, small_side, stored, table
+from pflegetakt.llm.common import new_folder, table, unused
 from pflegetakt.llm.queries_copies import BITS, SHINGLE, WINDOW
 from pflegetakt.llm.queries_models import MIX_POWER, TOXIC_FROM, domain_model, toxicity_model
 
@@ -25,9 +25,9 @@ ORACLE_SQL = None
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the limit. Null and empty texts stay."""
-    names = docs.columns
-    scored = toxicity.score_toxicity(docs, toxicity_model(spark, sf_dir), names, "text", "_toxicity")
-    return scored.where(F.col("_toxicity") < TOXIC_FROM).select(*names)
+    names, score = docs.columns, unused(docs, "_toxicity")
+    scored = toxicity.score_toxicity(docs, toxicity_model(spark, sf_dir), names, "text", score)
+    return scored.where(F.col(score) < TOXIC_FROM).select(*names)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,13 +48,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rates are fitted so that no domain shrinks; each is realised by whole copies, its fraction by
     a hash of the document.
     """
-    names = docs.columns
-    rows, _ = mixing.mix_documents(docs, domain_model(spark, sf_dir), "doc_id", "text", power=MIX_POWER, keep_all=True)
-    extra = stored(rows.where("copies <> 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("copies").alias("_copies")).distinct(), "copies")
-    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
-    same = keyed["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
-    times = F.sequence(F.lit(1), F.coalesce("_copies", F.lit(1)).cast("int"))
-    return keyed.join(small_side(extra), same, "left").withColumn("_copy", F.explode(times)).select(*names)
+    model = domain_model(spark, sf_dir)
+    _, mix = mixing.mix_documents(docs, model, "doc_id", "text", power=MIX_POWER, keep_all=True)
+    return mixing.repeat_by_rate(docs, model, mix, "doc_id", "text")
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,6 +53,14 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, behind as many underscores as no column of the table has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def sent_once(spark: SparkSession, model: Any) -> Callable[[], Any]:
     """Broadcasts a model of bounded size; a task calls the result once to get it.
 

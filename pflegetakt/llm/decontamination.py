@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_side, stored
+from .common import small_side, stored, unused
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 KEY = ("k1", "k2")
@@ -186,9 +186,11 @@ def without_contaminated(docs: DataFrame, text_col: str, found: DataFrame) -> Da
     texts = docs.where(F.col(text_col).isNotNull()).select(*text_keys(F.col(text_col)), F.col(text_col).alias("text"))
     # only texts with a hit are split into words
     hit = texts.join(small_side(stored(found.select(*KEY, "n_hit"), "contamination")), list(KEY))
-    bad = hit.where(contaminated(F.col("n_hit"), _counted(F.col("text")))).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
-    rows = docs.withColumns({"_k1": F.xxhash64(text_col), "_k2": F.hash(text_col)})
-    return rows.join(small_side(stored(bad, "contaminated")), ["_k1", "_k2"], "left_anti").drop("_k1", "_k2")
+    bad = hit.where(contaminated(F.col("n_hit"), _counted(F.col("text")))).select(*KEY).distinct()
+    k1, k2 = unused(docs, "_k1"), unused(docs, "_k2")
+    rows = docs.withColumns({k1: F.xxhash64(text_col), k2: F.hash(text_col)})
+    bad = stored(bad.toDF(k1, k2), "contaminated")
+    return rows.join(small_side(bad), [k1, k2], "left_anti").drop(k1, k2)
 
 
 def with_contamination(docs: DataFrame, text_col: str, found: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
@@ -107,6 +107,11 @@ def fit_domains(labelled: DataFrame, text_col: str, domain_col: str, id_col: str
     return DomainModel(domains, w)
 
 
+def _posteriors(weights: np.ndarray, known: dict[str, int], text: str | None) -> tuple[int, np.ndarray]:
+    n, at, value = text_features(text, known)
+    return n, _softmax(value @ weights[at])
+
+
 def predict_domains(df: DataFrame, model: DomainModel, keep: list[str], text_col: str) -> DataFrame:
     """(kept columns, n_tokens, posteriors): of every whole text; null and empty texts have no tokens."""
     shared = sent_once(df.sparkSession, model)  # features x domains
@@ -119,9 +124,9 @@ def predict_domains(df: DataFrame, model: DomainModel, keep: list[str], text_col
         for batch in batches:
             tokens, posteriors = [], []
             for text in batch.column(batch.num_columns - 1):
-                n, at, value = text_features(text.as_py(), known)
+                n, posterior = _posteriors(weights, known, text.as_py())
                 tokens.append(n)
-                posteriors.append(_softmax(value @ weights[at]))
+                posteriors.append(posterior)
             arrays = [*batch.columns[:-1], pa.array(tokens, pa.int64()), pa.array(posteriors, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:-1], "n_tokens", "posteriors"])
 
@@ -140,6 +145,11 @@ class Mix:
     steps: np.ndarray
     least_rate: float
 
+    @property
+    def residual(self) -> float:
+        """Largest distance of a domain from its target, as a share of the target."""
+        return float(np.max(np.abs(self.reached - self.targets) / np.maximum(self.targets, 1e-300), initial=0, where=self.targets > 0))
+
     def rates(self, posteriors: np.ndarray) -> np.ndarray:
         """Rates of documents with these posteriors: the projected steps, one after the other."""
         r = np.ones(len(posteriors))
@@ -191,7 +201,8 @@ def fit_mix(
     least size at which no domain shrinks, and rates stay at 1 or more. Each residual is divided
     by its domain's natural tokens and each document's step by its tokens; the step matrix then
     is row-stochastic, so a step of 1 converges and needs no tuning. Ends when every domain is
-    within `tolerance` of its target. Domains without tokens have target 0.
+    within `tolerance` of its target, or after `rounds` steps as near as they came: the `residual` of
+    the fit says how near. Domains without tokens have target 0.
     """
     n = len(domains)
     mix = Mix(domains, np.zeros(n), np.zeros(n), np.zeros(n), np.zeros((0, n)), 1.0 if keep_all else 0.0)
@@ -215,6 +226,40 @@ def fit_mix(
     return Mix(domains, natural, targets, reached, np.asarray(steps).reshape(-1, n), mix.least_rate)
 
 
+def _copies(rate: Column, seed_cols: list[str]) -> Column:
+    """The rate rounded up or down by a hash, so that its expectation is the rate."""
+    chance = F.pmod(F.xxhash64(F.lit("copies"), *seed_cols), F.lit(1 << 40)) / float(1 << 40)
+    return (F.floor(rate) + (chance < rate - F.floor(rate)).cast("long")).cast("long")
+
+
+def repeat_by_rate(df: DataFrame, model: DomainModel, mix: Mix, id_col: str, text_col: str) -> DataFrame:
+    """Every row of `df` as often as the fit says, with the columns of `df` whatever their names.
+
+    The rows are scored once more, and each carries its own rate: model and steps are small, so no
+    text is joined or shuffled at any size.
+    """
+    shared, plan = sent_once(df.sparkSession, model), mix
+    own = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
+        F.col(id_col).alias("id"),
+        F.xxhash64(text_col).alias("text_key"),
+        F.col(text_col).cast("string").alias("text"),
+    )
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        weights = shared().weights.astype(np.float64)
+        for batch in batches:
+            found = [_posteriors(weights, known, text.as_py())[1] for text in batch.column("text")]
+            rates = plan.rates(np.asarray(found, np.float64).reshape(len(found), len(plan.domains)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rates)], [*batch.schema.names[:-1], "rate"])
+
+    rated = own.mapInArrow(work, StructType([*own.schema.fields[:-1], StructField("rate", DoubleType())]))
+    times = F.sequence(F.lit(1), _copies(F.col("rate"), ["id", "text_key"]).cast("int"))
+    some = rated.where(_copies(F.col("rate"), ["id", "text_key"]) > 0)
+    return some.select("row", F.explode(times)).select("row.*")
+
+
 def with_rates(scored: DataFrame, mix: Mix, keep: list[str], seed_cols: list[str]) -> DataFrame:
     """(kept, n_tokens, posteriors, rate, copies): copies is rate rounded up or down by a hash of the seed columns.
 
@@ -230,9 +275,7 @@ def with_rates(scored: DataFrame, mix: Mix, keep: list[str], seed_cols: list[str
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mix.rates(p))], [*batch.schema.names, "rate"])
 
     rated = own.mapInArrow(work, StructType([*own.schema.fields, StructField("rate", DoubleType())]))
-    chance = F.pmod(F.xxhash64(F.lit("copies"), *seed_cols), F.lit(1 << 40)) / float(1 << 40)
-    copies = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
-    return rated.withColumn("copies", copies).select(*keep, "n_tokens", "posteriors", "rate", "copies")
+    return rated.withColumn("copies", _copies(F.col("rate"), seed_cols)).select(*keep, "n_tokens", "posteriors", "rate", "copies")
 
 
 def mix_documents(

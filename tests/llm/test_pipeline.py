@@ -1,11 +1,12 @@
 """The pipeline: every stage's effect against brute force, on documents with all kinds of cases."""
 
 import re
+from collections import Counter
 
 import pytest
 
 import corpus_pipeline
-from pflegetakt.llm import near_duplicates
+from pflegetakt.llm import mixing, near_duplicates
 from pflegetakt.llm.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -75,6 +76,23 @@ def test_mixing_keeps_every_document(steps):
     assert all(text[r["doc_id"]] == r["text"] for r in steps[4][1].collect())
 
 
+def test_copies_follow_the_rates_of_the_fit(spark, steps):
+    model = corpus_pipeline.domain_model(spark, SF_DIR)
+    rows, mix = mixing.mix_documents(steps[3][1], model, "doc_id", "text", power=corpus_pipeline.MIX_POWER, keep_all=True)
+    wanted = sorted((r["doc_id"], r["copies"]) for r in rows.collect())
+    got = Counter(ids(steps[4][1]))
+    assert [(i, got[i]) for i, _ in wanted] == wanted
+    assert mix.residual < 0.02
+
+
+def test_mixing_moves_no_text(spark, steps):
+    """No join and no shuffle above the scoring of the rows, so the plan is the same at every size."""
+    model = corpus_pipeline.domain_model(spark, SF_DIR)
+    _, mix = mixing.mix_documents(steps[3][1], model, "doc_id", "text", keep_all=True)
+    plan = mixing.repeat_by_rate(steps[3][1], model, mix, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
 def test_shards(steps):
     assert ids(steps[5][1]) == ids(steps[4][1])
     rows = steps[5][1].select("shard", "grown_shard").collect()
@@ -84,8 +102,8 @@ def test_shards(steps):
 
 def test_stages_take_odd_rows(spark, steps):
     rows = [(None, None, None, None, None), (None, "alone without a number", "en", None, 3), (5, "", None, "s", 0), (5, "", None, "s", 0), (6, "x " * 100_000, "en", "s", 1)]
-    schema = "doc_id long, text string, lang string, source string, n_chars long, shard string, n_hit string, copies string, posteriors int"
-    odd = spark.createDataFrame([(*r, "a", "b", "c", 1) for r in rows], schema)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, shard string, n_hit string, copies string, posteriors int, _id int, _key int, _copies int, _k1 int, _toxicity string, row string, rate int"
+    odd = spark.createDataFrame([(*r, "a", "b", "c", 1, 2, 3, 4, 5, "d", "e", 6) for r in rows], schema)
     for name, stage in corpus_pipeline.STAGES:
         got = stage(spark, odd, SF_DIR)
         assert stage(spark, odd.limit(0), SF_DIR).count() == 0
@@ -95,3 +113,4 @@ def test_stages_take_odd_rows(spark, steps):
             assert {str(r["text"])[:5] for r in got.collect()} == {"None", "", "alone", "x x x"}
         if name != "sharding":
             assert got.columns == odd.columns
+            assert {tuple(r) for r in got.select(*odd.columns[5:]).collect()} == {("a", "b", "c", 1, 2, 3, 4, 5, "d", "e", 6)}
