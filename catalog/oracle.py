@@ -189,6 +189,8 @@ ORACLE: dict[str, str] = {
         from events"""),
     "parse_decimal_comma": f"with {NUMBER_TEXTS} select event_id, comma_number as number from number_texts",
     "cast_numeric": f"with {NUMBER_TEXTS} select event_id, point_number as number from number_texts",
+    "cast_all_numeric": f"""with {NUMBER_TEXTS}
+        select cast(event_id as double) as event_id, point_number as point_text from number_texts""",
     "select_rename": _sql("select pid, code as kuerzel, datum as datum_tag from fx_cls"),
     "filter_regex_prefix": _sql("""
         select ord, category, code, 'category' as tested from fx_cls where regexp_matches(category, '^A[0-9]')

@@ -12,7 +12,7 @@ from catalog.fixtures import fixture, load_inputs, table
 from pflegetakt import Settings, Staffing
 from pflegetakt.functions.dates import parse_clock, parse_day, parse_moment_day
 from pflegetakt.functions.missing import if_known, ratio, strict_mean, strict_sum, sum_or_zero
-from pflegetakt.functions.numbers import parse_decimal_comma, to_number
+from pflegetakt.functions.numbers import all_to_number, parse_decimal_comma, to_number
 from pflegetakt.operators import rows
 from pflegetakt.operators.lookups import control_scalars, merged_ward
 from pflegetakt.plans import patient_days, ward_days, workload
@@ -111,6 +111,13 @@ def cast_numeric(spark, sf_dir):
     )
 
 
+@register
+def cast_all_numeric(spark, sf_dir):
+    """Every column as a number."""
+    texts = _number_texts(spark, sf_dir).select(F.col("event_id").cast("string"), "point_text")
+    return all_to_number(texts)
+
+
 @register
 def select_rename(spark, sf_dir):
     named = fixture(spark, sf_dir, "fx_cls").select(

@@ -9,8 +9,10 @@ _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
 def _plain_number(text: Column) -> Column:
-    """Casts digits with a decimal point; type suffixes and words for no number are missing."""
-    return F.when(text.rlike(_NUMBER), text).try_cast("double")
+    """Casts digits with a decimal point; type suffixes, words for no number and numbers too large
+    for a double are missing."""
+    number = F.when(text.rlike(_NUMBER), text).try_cast("double")
+    return F.when(F.abs(number) < F.lit(float("inf")), number)
 
 
 def parse_decimal_comma(text: Column) -> Column:

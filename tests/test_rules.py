@@ -568,3 +568,9 @@ def test_rejected_newborns_are_kept_apart(spark):
     assert rows(workload.rejected_newborns(births), "case_id") == [("b",), ("c",), ("d",), ("e",)]
     assert tuple(workload.newborn_checks(births).first()) == (1, 2, 1, 1)
     assert workload.newborn_spans(births).count() == 1
+
+
+def test_numbers_too_large_for_a_double_are_missing(spark):
+    texts = spark.createDataFrame([("1e400",), ("-1e400",), ("1e300",)], "t string")
+    got = texts.select(to_number(F.col("t")).alias("n"), parse_decimal_comma(F.col("t")).alias("m")).collect()
+    assert [tuple(r) for r in got] == [(None, None), (None, None), (1e300, 1e300)]
