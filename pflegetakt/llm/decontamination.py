@@ -2,10 +2,12 @@
 
 The index holds one posting (term, text key, position) per training token that the test items
 use; it is split by document, every part in text order. A window of a test item is looked up
-from its two rarest terms: the postings of the rarest, moved back by the term's offset in the
-item, give alignments (text, item, start); these are intersected with the offset-adjusted
-postings of the next rarest, and what is left with those of all terms. Everything is DataFrame
-expressions, joins and aggregates.
+from its rarest terms: the postings of the rarest, moved back by the term's offset in the item,
+give alignments (text, item, start); these are intersected with the offset-adjusted postings of a
+second rare one, and what is left with those of all terms of the window. Exact matches need one
+such pair of terms; proximity matches, which may lack words or have them off their places, need
+one pair more for each word that may be missing. Everything is DataFrame expressions, joins and
+aggregates.
 """
 
 from __future__ import annotations
@@ -70,10 +72,28 @@ def build_index(docs: DataFrame, text_col: str, terms: DataFrame) -> PhraseIndex
     return PhraseIndex(postings, stored(postings.groupBy("term").agg(F.count("*").alias("n")), "frequencies"))
 
 
-def rarest_terms(index: PhraseIndex, terms: DataFrame, window: int) -> DataFrame:
-    """(item, offset, term, offset2, term2): for each window of an item its two rarest terms, each pair once.
+@dataclass(frozen=True)
+class Near:
+    """What a proximity match allows: words out of a hundred of a window that may be missing (rounded
+    down to whole words), and how many words from its place a word may stand."""
+
+    missing_percent: int = 20
+    slack: int = 1
+
+
+def _missing(size: Column, near: Near | None) -> Column:
+    """Words of a window that may be missing."""
+    return F.floor(size * F.lit(near.missing_percent if near else 0) / 100).cast("int")
+
 
-    Windows with a term that the index lacks cannot match and are left out; ties of frequency
+def rarest_terms(index: PhraseIndex, terms: DataFrame, window: int, near: Near | None = None) -> DataFrame:
+    """(item, offset, term, offset2, term2, low, high): pairs of rare terms that find the windows of the items.
+
+    Each pair comes once, with the first offset of the windows it stands for and the one behind their
+    last. An exact match has both of a window's two rarest terms. A match that may lack m words has
+    both terms of one of m + 1 pairs without a common term; these are made of the rarest terms, the
+    rarest of all with the least rare of them. Terms that the index lacks are missing anyway and
+    leave fewer others to miss; windows that lack more than they may are left out. Ties of frequency
     go to the earlier offset. Windows of one word have it twice.
     """
     known = terms.join(index.frequencies, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -82,91 +102,138 @@ def rarest_terms(index: PhraseIndex, terms: DataFrame, window: int) -> DataFrame
     starts = F.sequence(F.greatest(F.col("offset") - size + 1, F.lit(0)), F.least(F.col("offset"), F.col("length") - size))
     spread = known.withColumn("start", F.explode(starts))
     ranked = spread.groupBy("item", "start").agg(F.array_sort(F.collect_list(F.struct("n", "offset", "term"))).alias("by"))
-    first, second = F.col("by")[0], F.when(F.size("by") > 1, F.get("by", F.lit(1))).otherwise(F.col("by")[0])
-    ranked = ranked.where(first["n"] > 0)
-    return ranked.select(
-        "item", first["offset"].alias("offset"), first["term"].alias("term"), second["offset"].alias("offset2"), second["term"].alias("term2")
-    ).distinct()
+    there = ranked.select("item", "start", F.size("by").alias("size"), F.filter("by", lambda t: t["n"] > 0).alias("by"))
+    spare = _missing(F.col("size"), near) - (F.col("size") - F.size("by"))
+    there = there.withColumn("spare", spare).where((F.col("spare") >= 0) & (F.size("by") > 0))
+
+    def pair(i: Column) -> Column:
+        first = F.get("by", i)
+        second = F.get("by", F.least(2 * F.col("spare") + 1 - i, F.size("by") - 1))
+        return F.struct(
+            first["offset"].alias("offset"), first["term"].alias("term"), second["offset"].alias("offset2"), second["term"].alias("term2")
+        )
+
+    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("spare")), pair))
+    split = there.select("item", "start", "size", pairs.alias("p")).select("item", "start", "size", "p.*")
+    # windows of one pair overlap, so what lies between the first and the last is less than two windows
+    return split.groupBy("item", "offset", "term", "offset2", "term2").agg(
+        F.min("start").alias("low"), F.max(F.col("start") + F.col("size")).alias("high")
+    )
+
 
+def _around(column: Column, slack: int) -> Column:
+    return F.explode(F.sequence(column - slack, column + slack))
 
-def alignments(index: PhraseIndex, terms: DataFrame, window: int, slack: int = 0) -> DataFrame:
-    """(k1, k2, item, start): where a window of an item could lie in a text, by its two rarest terms.
 
-    The second may stand up to `slack` words from its place.
+def alignments(index: PhraseIndex, terms: DataFrame, window: int, near: Near | None = None) -> DataFrame:
+    """(k1, k2, item, start, low, high): where item offsets from `low` to before `high` could lie in a text.
+
+    `start` is the text position of the item's first word, which may lie outside the text.
     """
-    rare = small_side(stored(rarest_terms(index, terms, window), "rarest"))
+    slack = near.slack if near else 0
+    rare = small_side(stored(rarest_terms(index, terms, window, near), "rarest"))
     hits = index.postings.join(rare, "term")
-    start = F.col("pos") - F.col("offset")
-    hits = hits.select(*KEY, "item", start.alias("start"), F.col("term2").alias("term"), (start + F.col("offset2")).alias("pos")).distinct()
+    apart = F.col("offset2") - F.col("offset")
+    hits = hits.select(
+        *KEY, "item", "low", "high", (F.col("pos") - F.col("offset")).alias("start"), F.col("term2").alias("term"), (F.col("pos") + apart).alias("pos"), "offset2"
+    )
     if slack:
-        hits = hits.withColumn("pos", F.explode(F.sequence(F.col("pos") - slack, F.col("pos") + slack)))
+        # both words may stand off their places, by up to twice the slack against each other
+        hits = hits.withColumn("pos", _around(F.col("pos"), 2 * slack))
     second = small_side(stored(rare.select(F.col("term2").alias("term")).distinct(), "second"))
-    confirming = index.postings.join(second, "term", "left_semi")
-    return hits.join(confirming, [*KEY, "term", "pos"]).select(*KEY, "item", "start").distinct()
+    confirming = index.postings.join(second, "term", "left_semi").distinct()
+    both = hits.join(confirming, [*KEY, "term", "pos"])
+    if slack:
+        other = F.col("pos") - F.col("offset2")
+        starts = F.sequence(F.greatest("start", other) - slack, F.least("start", other) + slack)
+        both = both.withColumn("start", F.explode(starts))
+    return both.select(*KEY, "item", "start", "low", "high").distinct()
 
 
-def aligned_terms(index: PhraseIndex, terms: DataFrame, window: int, slack: int = 0) -> DataFrame:
-    """(k1, k2, item, start, length, offset, pos): terms of candidate alignments found in the text, each once.
+def aligned_terms(index: PhraseIndex, terms: DataFrame, window: int, near: Near | None = None) -> DataFrame:
+    """(k1, k2, item, start, length, offset, pos): terms of candidate windows found in the text, each once.
 
-    A term counts up to `slack` words from its place.
+    Only the windows that are candidates are unfolded, not their whole items. A term counts up to
+    the slack from its place.
     """
-    places = terms.groupBy("item", "length").agg(F.collect_list(F.struct("offset", "term")).alias("places"))
-    found = stored(alignments(index, terms, window, slack), "alignments")
-    expected = found.join(small_side(stored(places, "places")), "item")
-    expected = expected.select(*KEY, "item", "start", "length", F.explode("places").alias("p"))
-    expected = expected.select(*KEY, "item", "start", "length", "p.offset", "p.term", (F.col("start") + F.col("p.offset")).alias("pos"))
-    if slack:
-        expected = expected.withColumn("pos", F.explode(F.sequence(F.col("pos") - slack, F.col("pos") + slack)))
+    found = stored(alignments(index, terms, window, near), "alignments")
+    places = found.select(*KEY, "item", "start", F.explode(F.sequence("low", F.col("high") - 1)).alias("offset")).distinct()
+    expected = places.join(small_side(terms), ["item", "offset"]).withColumn("pos", F.col("start") + F.col("offset"))
+    if near and near.slack:
+        expected = expected.withColumn("pos", _around(F.col("pos"), near.slack))
     texts = small_side(stored(found.select(*KEY).distinct(), "texts"))
     there = index.postings.join(texts, list(KEY), "left_semi")
     return expected.join(there, [*KEY, "pos", "term"]).select(*KEY, "item", "start", "length", "offset", "pos").distinct()
 
 
-def phrase_hits(index: PhraseIndex, terms: DataFrame, window: int = 13) -> DataFrame:
+def phrase_hits(aligned: DataFrame, window: int = 13) -> DataFrame:
     """(k1, k2, item, first, last): exact occurrences of runs of an item, `window` words or more.
 
-    Items of fewer words count as one window. `first` and `last` are word positions in the text.
+    `aligned` is what `aligned_terms` found. Items of fewer words count as one window. `first` and
+    `last` are word positions in the text.
     """
-    found = aligned_terms(index, terms, window)
+    found = aligned.where(F.col("pos") == F.col("start") + F.col("offset"))
     run = Window.partitionBy(*KEY, "item", "start").orderBy("offset")
     runs = found.withColumn("run", F.col("offset") - F.row_number().over(run))
     runs = runs.groupBy(*KEY, "item", "start", "run", "length").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
     return runs.where(F.col("last") - F.col("first") + 1 >= F.least(F.col("length"), F.lit(window))).select(*KEY, "item", "first", "last")
 
 
-def proximity_hits(index: PhraseIndex, terms: DataFrame, window: int = 13, slack: int = 2, share: float = 0.8) -> DataFrame:
-    """(k1, k2, item, start, found): alignments that hold `share` of an item's words near their places.
+def proximity_hits(aligned: DataFrame, near: Near, window: int = 13) -> DataFrame:
+    """(k1, k2, item, pos): words of texts in windows of an item of which enough words are near their places.
 
-    Candidates come from the windows' rarest terms; a word may stand up to `slack` words off.
+    `aligned` is what `aligned_terms` found with the same `near`. A window is a match at one start of
+    the item in the text; it may reach over the ends of the text. Words that were put in place of
+    missing ones do not count.
     """
-    near = aligned_terms(index, terms, window, slack)
-    counts = near.groupBy(*KEY, "item", "start", "length").agg(F.countDistinct("offset").alias("found"))
-    return counts.where(F.col("found") >= share * F.col("length")).select(*KEY, "item", "start", "found")
+    size = F.least(F.col("length"), F.lit(window))
+    first, last = F.greatest(F.col("offset") - size + 1, F.lit(0)), F.least(F.col("offset"), F.col("length") - size)
+    places = aligned.select(*KEY, "item", "start", "length", "offset").distinct()
+    of_window = places.select(*KEY, "item", "start", size.alias("size"), F.explode(F.sequence(first, last)).alias("from"))
+    counts = of_window.groupBy(*KEY, "item", "start", "from", "size").agg(F.count("*").alias("found"))
+    good = counts.where(F.col("found") >= F.col("size") - _missing(F.col("size"), near))
+    inside = good.select(*KEY, "item", "start", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("size") - 1)).alias("offset")).distinct()
+    return aligned.join(inside, [*KEY, "item", "start", "offset"], "left_semi").select(*KEY, "item", "pos").distinct()
+
+
+def _found_items(hits: DataFrame, ids: DataFrame) -> DataFrame:
+    """(k1, k2, items, number): ids of the items found in each text; null is counted as one more."""
+    found = hits.select(*KEY, "item").distinct().join(ids, "item")
+    names = found.groupBy(*KEY).agg(F.array_sort(F.collect_set("id")).alias("items"), F.max(F.col("id").isNull().cast("long")).alias("unnamed"))
+    return names.select(*KEY, "items", (F.size("items") + F.col("unnamed")).alias("number"))
 
 
 def contamination(
-    docs: DataFrame, text_col: str, items: DataFrame, item_col: str, item_text_col: str, window: int = 13
+    docs: DataFrame, text_col: str, items: DataFrame, item_col: str, item_text_col: str, window: int = 13, near: Near | None = None
 ) -> DataFrame:
     """(k1, k2, n_hit, items, n_items): per text key the words inside any found window, and the items found.
 
-    Only texts with a hit are returned. Windows are found by an item's words, ids are joined to
-    what is found: rows that share an id are texts of their own, and those without an id count
-    for `n_hit`. Item ids are sorted as strings; `items` has those that are not null, `n_items`
-    counts null as one more. Null and empty items and texts have no words and match nothing;
-    repeated rows are one. Tables may be empty; further columns are not read.
+    With `near` also n_near and n_near_items: words that stand near their places in windows found by
+    proximity, exact ones included, and the items of these windows. Only texts with a match are
+    returned. Windows are found by an item's words, ids are joined to what is found: rows that share
+    an id are texts of their own, and those without an id count for `n_hit`. Item ids are sorted as
+    strings; `items` has those that are not null, `n_items` counts null as one more. Null and empty
+    items and texts have no words and match nothing; repeated rows are one. Tables may be empty;
+    further columns are not read.
     """
     words = items.select(F.col(item_col).cast("string").alias("id"), words_of(F.col(item_text_col)).alias("words"))
     words = words.where(F.size("words") > 0).withColumn("words", F.array_join("words", " "))
     named = stored(words.select(F.unhex(F.md5("words")).alias("item"), "id", "words").distinct(), "named")
     terms = stored(item_terms(named.select("item", "words").distinct(), "item", "words"), "items")
-    hits = stored(phrase_hits(build_index(docs, text_col, terms), terms, window), "hits")
+    aligned = aligned_terms(build_index(docs, text_col, terms), terms, window, near)
+    aligned = stored(aligned, "aligned") if near else aligned
+    hits = stored(phrase_hits(aligned, window), "hits")
     covered = hits.select(*KEY, F.explode(F.sequence("first", "last")).alias("pos")).distinct()
     n_hit = covered.groupBy(*KEY).agg(F.count("*").alias("n_hit"))
     ids = small_side(stored(named.select("item", "id"), "ids"))
-    found = hits.select(*KEY, "item").distinct().join(ids, "item")
-    names = found.groupBy(*KEY).agg(F.array_sort(F.collect_set("id")).alias("items"), F.max(F.col("id").isNull().cast("long")).alias("unnamed"))
-    names = names.select(*KEY, "items", (F.size("items") + F.col("unnamed")).alias("n_items"))
-    return n_hit.join(names, list(KEY))
+    exact = n_hit.join(_found_items(hits, ids).withColumnRenamed("number", "n_items"), list(KEY))
+    if not near:
+        return exact
+    close = stored(proximity_hits(aligned, near, window), "near")
+    n_near = close.groupBy(*KEY).agg(F.count_distinct("pos").alias("n_near"))
+    close = n_near.join(_found_items(close, ids).select(*KEY, F.col("number").alias("n_near_items")), list(KEY))
+    # every exact match is one by proximity
+    return close.join(exact, list(KEY), "left")
 
 
 def contaminated(n_hit: Column, n_words: Column) -> Column:
@@ -194,20 +261,21 @@ def without_contaminated(docs: DataFrame, text_col: str, found: DataFrame) -> Da
 
 
 def with_contamination(docs: DataFrame, text_col: str, found: DataFrame) -> DataFrame:
-    """Adds n_words, n_hit, items, n_items and contaminated to every row of `docs` (columns of those names are replaced).
+    """Adds n_words, contaminated and what `found` has (n_hit, items, n_items and, by proximity, n_near,
+    n_near_items) to every row of `docs`; columns of those names are replaced.
 
     Null and empty texts have no words and are not contaminated; repeated rows get equal answers.
     """
-    keys = {"n_words": _counted(F.col(text_col)), "_k1": F.xxhash64(text_col), "_k2": F.hash(text_col)}
-    rows = docs.withColumns(keys).drop("n_hit", "items", "n_items", "contaminated")
-    result = stored(found.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "n_hit", "items", "n_items"), "contamination")
-    joined = rows.join(small_side(result), ["_k1", "_k2"], "left").drop("_k1", "_k2")
-    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
+    k1, k2 = unused(docs, "_k1"), unused(docs, "_k2")
+    counts = [name for name in found.columns if name not in (*KEY, "items")]
+    rows = docs.drop("n_words", "contaminated", "items", *counts)
+    rows = rows.withColumns({"n_words": _counted(F.col(text_col)), k1: F.xxhash64(text_col), k2: F.hash(text_col)})
+    result = found.withColumnsRenamed({"k1": k1, "k2": k2})
+    joined = rows.join(small_side(stored(result, "contamination")), [k1, k2], "left").drop(k1, k2)
+    joined = joined.withColumns({name: F.coalesce(name, F.lit(0)).cast("long") for name in counts})
     return joined.withColumns(
         {
-            "n_hit": n_hit,
             "items": F.coalesce("items", F.array().cast("array<string>")),
-            "n_items": F.coalesce("n_items", F.lit(0)).cast("long"),
-            "contaminated": contaminated(n_hit, F.col("n_words")),
+            "contaminated": contaminated(F.col("n_hit"), F.col("n_words")),
         }
     )

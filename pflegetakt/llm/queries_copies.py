@@ -16,6 +16,7 @@ SHINGLE = 4
 BITS = 4
 WINDOW = 13
 RADIUS = 3
+NEAR = decontamination.Near(missing_percent=20, slack=1)
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,9 +82,13 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of every document inside occurrences of 13-word windows of benchmark items."""
+    """Words of every document inside occurrences of 13-word windows of benchmark items.
+
+    n_near and n_near_items: words of the document near their places in windows of which at least
+    four fifths of the words stand at most one word from their places, and the items of these windows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontamination.contamination(docs, "text", table(spark, sf_dir, "benchmark"), "item_id", "text", WINDOW)
+    found = decontamination.contamination(docs, "text", table(spark, sf_dir, "benchmark"), "item_id", "text", WINDOW, NEAR)
     return decontamination.with_contamination(docs, "text", found).select(
         "doc_id",
         "n_words",
@@ -91,6 +96,8 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_items",
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         "contaminated",
+        "n_near",
+        "n_near_items",
     )
 
 
@@ -112,10 +119,27 @@ covered AS (
   SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + w)) AS p FROM hits) GROUP BY r),
 items AS (
   SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
-  FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM hits) GROUP BY r)
+  FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM hits) GROUP BY r),
+texts AS (SELECT row_number() OVER () AS t, words FROM (SELECT DISTINCT words FROM i WHERE len(words) > 0)),
+places AS (SELECT t, len(words) AS l, least({WINDOW}, len(words)) AS w, unnest(words) AS word, unnest(range(len(words))) AS o FROM texts),
+postings AS (SELECT r, unnest(words) AS word, unnest(range(len(words))) AS p FROM d),
+aligned AS (
+  SELECT r, t, l, w, o, p, a
+  FROM (SELECT r, t, l, w, o, p, unnest(range(p - o - {NEAR.slack}, p - o + {NEAR.slack} + 1)) AS a
+        FROM postings JOIN places USING (word))),
+near_windows AS (
+  SELECT r, t, a, s, w
+  FROM (SELECT DISTINCT r, t, a, w, o, unnest(range(greatest(0, o - w + 1), least(o, l - w) + 1)) AS s FROM aligned)
+  GROUP BY r, t, a, s, w HAVING count(*) >= w - w * {NEAR.missing_percent} // 100),
+near_places AS (SELECT DISTINCT r, t, a, unnest(range(s, s + w)) AS o FROM near_windows),
+near_hits AS (SELECT r, count(DISTINCT p) AS n_near FROM aligned SEMI JOIN near_places USING (r, t, a, o) GROUP BY r),
+near_items AS (
+  SELECT r, count(*) AS n_near_items
+  FROM (SELECT DISTINCT r, item_id FROM near_windows JOIN texts USING (t) JOIN i USING (words)) GROUP BY r)
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
-FROM d LEFT JOIN covered USING (r) LEFT JOIN items USING (r)
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated,
+  coalesce(n_near, 0)::BIGINT AS n_near, coalesce(n_near_items, 0)::BIGINT AS n_near_items
+FROM d LEFT JOIN covered USING (r) LEFT JOIN items USING (r) LEFT JOIN near_hits USING (r) LEFT JOIN near_items USING (r)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
