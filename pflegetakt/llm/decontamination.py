@@ -22,6 +22,7 @@ from .common import small_side, stored, unused
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 KEY = ("k1", "k2")
+BLOCK_BITS = 4
 
 
 def _split(text: Column) -> Column:
@@ -130,22 +131,26 @@ def alignments(index: PhraseIndex, terms: DataFrame, window: int, near: Near | N
 
     `start` is the text position of the item's first word, which may lie outside the text.
     """
-    slack = near.slack if near else 0
-    rare = small_side(stored(rarest_terms(index, terms, window, near), "rarest"))
-    hits = index.postings.join(rare, "term")
-    apart = F.col("offset2") - F.col("offset")
-    hits = hits.select(
-        *KEY, "item", "low", "high", (F.col("pos") - F.col("offset")).alias("start"), F.col("term2").alias("term"), (F.col("pos") + apart).alias("pos"), "offset2"
-    )
-    if slack:
-        # both words may stand off their places, by up to twice the slack against each other
-        hits = hits.withColumn("pos", _around(F.col("pos"), 2 * slack))
+    reach = 2 * near.slack if near else 0  # both words may stand off their places, on opposite sides
+    pairs = rarest_terms(index, terms, window, near).withColumn("pair", F.monotonically_increasing_id())
+    rare = small_side(stored(pairs, "rarest"))
+    hits = index.postings.join(rare.select("pair", "term"), "term").select(*KEY, "pair", "pos").distinct()
+    wanted = hits.join(rare.select("pair", F.col("term2").alias("term"), (F.col("offset2") - F.col("offset")).alias("apart")), "pair")
+    wanted = wanted.select(*KEY, "pair", "pos", "term", (F.col("pos") + F.col("apart")).alias("at"))
+    # where the second term may be lies in one block of positions or two; a block's positions are a bit mask
+    first, last = F.shiftright(F.col("at") - reach, BLOCK_BITS), F.shiftright(F.col("at") + reach, BLOCK_BITS)
+    wanted = wanted.withColumn("block", F.explode(F.sequence(first, last)) if reach else first)
     second = small_side(stored(rare.select(F.col("term2").alias("term")).distinct(), "second"))
-    confirming = index.postings.join(second, "term", "left_semi").distinct()
-    both = hits.join(confirming, [*KEY, "term", "pos"])
-    if slack:
-        other = F.col("pos") - F.col("offset2")
-        starts = F.sequence(F.greatest("start", other) - slack, F.least("start", other) + slack)
+    bit = F.expr(f"shiftleft(1, pos & {(1 << BLOCK_BITS) - 1})")
+    blocks = index.postings.join(second, "term", "left_semi").groupBy(*KEY, "term", F.shiftright("pos", BLOCK_BITS).alias("block"))
+    blocks = blocks.agg(F.bit_or(bit).alias("mask"))
+    met = wanted.join(blocks, [*KEY, "term", "block"]).select(*KEY, "pair", "pos", "at", "block", "mask")
+    met = met.withColumn("other", _around(F.col("at"), reach) if reach else F.col("at"))
+    there = (F.shiftright("other", BLOCK_BITS) == F.col("block")) & F.expr(f"(shiftright(mask, other & {(1 << BLOCK_BITS) - 1}) & 1) = 1")
+    both = met.where(there).join(rare, "pair").withColumn("start", F.col("pos") - F.col("offset"))
+    if reach:
+        other = F.col("other") - F.col("offset2")
+        starts = F.sequence(F.greatest("start", other) - near.slack, F.least("start", other) + near.slack)
         both = both.withColumn("start", F.explode(starts))
     return both.select(*KEY, "item", "start", "low", "high").distinct()
 
