@@ -8,6 +8,7 @@ the small hand-written files of a run.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pflegetakt import Inputs
 
@@ -124,8 +125,17 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _query(spark, name, {source: table(spark, sf_dir, source)})
 
 
-def load_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
+def two_years(events: DataFrame) -> DataFrame:
+    """Events with those of every second user a year later."""
+    later = F.col("ts") + F.expr("interval 1 year")
+    return events.withColumn("ts", F.when(F.col("user_id") % 2 == 1, later).otherwise(F.col("ts")))
+
+
+def load_inputs(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> Inputs:
+    """All tables of a run, from other events if given."""
     sources = {name: table(spark, sf_dir, name) for name in ("events", "part")}
+    if events is not None:
+        sources["events"] = events
     return Inputs(
         stays=_query(spark, "fx_stays", sources),
         classifications=_query(spark, "fx_cls", sources).drop("tag"),

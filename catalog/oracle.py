@@ -362,3 +362,31 @@ ORACLE: dict[str, str] = {
 
 # The exported report is read back unchanged.
 ORACLE["export_reports"] = ORACLE["monthly_report"]
+
+# Inputs of other shapes: the same SQL over changed tables.
+_TWO_YEARS = """with events as (
+  select * replace (case when user_id % 2 = 1 then ts + interval 1 year else ts end as ts) from events),"""
+
+
+def _changed(name: str, old: str, new: str) -> str:
+    """The SQL of a query with one part of its tables replaced."""
+    sql = ORACLE[name]
+    if old not in sql:
+        raise ValueError(f"{name} has no {old}")
+    return sql.replace(old, new, 1)
+
+
+ORACLE["monthly_report_two_years"] = _changed("monthly_report", "with ", _TWO_YEARS)
+ORACLE["monthly_report_by_year_two_years"] = _changed("monthly_report_by_year", "with ", _TWO_YEARS)
+ORACLE["monthly_report_split_wards"] = _changed(
+    "monthly_report", "('CH3','Chirurgie',18.0e0,0.10e0", "('CH3','Chirurgie',18.0e0,0.20e0"
+)
+ORACLE["night_lookup_fractions"] = _changed(
+    "night_lookup", "select n as patienten", "select n + case when n % 2 = 0 then 0.0e0 else 0.5e0 end as patienten"
+)
+ORACLE["read_stays_order"] = _sql("""
+        select pid, case_id, ward, cast(begin_ts as date) as begin_ts, cast(end_ts as date) as end_ts from (
+          select *, row_number() over (partition by pid order by ord desc) as rn from fx_stays) where rn = 1""")
+ORACLE["export_controls"] = _sql("""
+        select kategorie, wert from fx_rates
+        union all select cast(patienten as varchar), min_ex_net from fx_night""")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.fixtures import fixture, load_inputs, table
+from catalog.fixtures import fixture, load_inputs, table, two_years
 from pflegetakt import Settings, Staffing
 from pflegetakt.functions.dates import parse_clock, parse_day, parse_moment_day
 from pflegetakt.functions.missing import if_known, ratio, strict_mean, strict_sum, sum_or_zero
@@ -17,6 +18,7 @@ from pflegetakt.operators import rows
 from pflegetakt.operators.lookups import control_scalars, merged_ward
 from pflegetakt.plans import patient_days, ward_days, workload
 from pflegetakt.plans.patient_days import with_ids
+from pflegetakt.sources.delimited import read_stays
 from pflegetakt.sources.delimited import scan_delimited as scan_file
 from pflegetakt.sources.export import export_reports as write_reports
 from pflegetakt.sources.export import read_report
@@ -480,3 +482,84 @@ def export_reports(spark, sf_dir):
         spark, staffing(spark, sf_dir), scratch(spark, "export_reports"), controls=True
     )
     return _rounded_report(read_report(spark, folder, "ppr_bericht"))
+
+
+# Inputs of other shapes
+
+
+def _two_years(spark, sf_dir, settings=None):
+    events = two_years(table(spark, sf_dir, "events"))
+    return Staffing(load_inputs(spark, sf_dir, events), settings or Settings())
+
+
+@register
+def monthly_report_two_years(spark, sf_dir):
+    """Months of two years in one row."""
+    return _rounded_report(_two_years(spark, sf_dir).monthly_report())
+
+
+@register
+def monthly_report_by_year_two_years(spark, sf_dir):
+    names = ["Station2", "Jahr", "Monat", "Schicht", "Anzahl_Schichten", "Soll_Besetzung"]
+    report = _two_years(spark, sf_dir, Settings(by_year=True)).monthly_report()
+    return rounded(report.select(*names), "Soll_Besetzung")
+
+
+@register
+def monthly_report_split_wards(spark, sf_dir):
+    """Merged wards with different attributes keep several master rows, which multiply their reports."""
+    inputs = load_inputs(spark, sf_dir)
+    absence = F.when(F.col("ward") == "CH3", 0.2).otherwise(F.col("ausfall1"))
+    inputs = replace(inputs, wards=inputs.wards.withColumn("ausfall1", absence))
+    return _rounded_report(Staffing(inputs, Settings()).monthly_report())
+
+
+@register
+def night_lookup_fractions(spark, sf_dir):
+    """Every second key of the night table lies between two counts and meets none."""
+    inputs = load_inputs(spark, sf_dir)
+    between = F.col("patienten") + F.when(F.col("patienten") % 2 == 0, 0.0).otherwise(0.5)
+    inputs = replace(inputs, night=inputs.night.withColumn("patienten", between))
+    names = ["Station2", "Tag", "Patienten_mitternacht", "Minuten_nacht", "VK_nacht"]
+    days = Staffing(inputs, Settings()).night_lookup().select(*names)
+    return rounded(days, "Minuten_nacht", "VK_nacht")
+
+
+@register
+def read_stays_order(spark, sf_dir):
+    """Stays from files of nine columns, written in order over several files: each patient's last row.
+
+    The ward is the ninth column, whatever other column has a similar header.
+    """
+    folder = scratch(spark, "read_stays_order")
+    stays = fixture(spark, sf_dir, "fx_stays")
+
+    def moment(name):
+        return F.date_format(name, "dd.MM.yyyy HH:mm")
+
+    written = stays.orderBy("ord").select(
+        F.col("pid").alias("PID"),
+        F.col("case_id").alias("Fallnummer"),
+        moment("begin_ts").alias("Aufenthaltsbeginn"),
+        moment("end_ts").alias("Aufenthaltsende"),
+        F.lit("other").alias("Station"),
+        *[F.lit("").alias(f"leer{i}") for i in range(3)],
+        F.col("ward").alias("Station neu"),
+    )
+    written.write.mode("overwrite").csv(folder, sep=";", header=True, escape='"', encoding="ISO-8859-1")
+    read = read_stays(spark, folder, "ISO-8859-1")
+    days = read.withColumns({name: F.col(name).cast("date") for name in ("begin_ts", "end_ts")})
+    return rows.keep_last(days, ["pid"], "ord").drop("ord")
+
+
+@register
+def export_controls(spark, sf_dir):
+    """Control tables as a run with reports writes them, read back."""
+    folder = write_reports(
+        spark, staffing(spark, sf_dir), scratch(spark, "export_controls"), controls=True
+    )
+    rates = read_report(spark, folder, "Steuerung").select("kategorie", "wert")
+    nights = read_report(spark, folder, "Nachtdienst")
+    return rates.unionByName(
+        nights.select(F.col("patienten").cast("string").alias("kategorie"), F.col("min_ex_net").alias("wert"))
+    )
