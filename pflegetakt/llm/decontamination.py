@@ -22,7 +22,7 @@ from .common import small_side, stored, unused
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 KEY = ("k1", "k2")
-BLOCK_BITS = 4
+BLOCK_BITS = 5
 
 
 def _split(text: Column) -> Column:
@@ -126,28 +126,48 @@ def _around(column: Column, slack: int) -> Column:
     return F.explode(F.sequence(column - slack, column + slack))
 
 
+def _has(mask: str, position: Column) -> Column:
+    """Whether a block's bit mask has this position."""
+    bit = position.bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
+    return F.call_function("shiftright", F.col(mask), bit).bitwiseAND(F.lit(1)) == 1
+
+
+def _blocks(index: PhraseIndex, numbers: DataFrame, pairs: DataFrame, word: str) -> DataFrame:
+    """(k1, k2, <word>, block, mask): the postings of the pairs' first or second words, a bit a position."""
+    used = stored(numbers.join(pairs.select(F.col(word).alias("word")).distinct(), "word").select("term", F.col("word").alias(word)), "words")
+    own = index.postings.join(small_side(used), "term").select(*KEY, word, "pos")
+    bit = F.call_function("shiftleft", F.lit(1), F.col("pos").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)))
+    return own.groupBy(*KEY, word, F.shiftright("pos", BLOCK_BITS).alias("block")).agg(F.bit_or(bit).alias("mask"))
+
+
 def alignments(index: PhraseIndex, terms: DataFrame, window: int, near: Near | None = None) -> DataFrame:
     """(k1, k2, item, start, low, high): where item offsets from `low` to before `high` could lie in a text.
 
     `start` is the text position of the item's first word, which may lie outside the text.
     """
     reach = 2 * near.slack if near else 0  # both words may stand off their places, on opposite sides
-    pairs = rarest_terms(index, terms, window, near).withColumn("pair", F.monotonically_increasing_id())
-    rare = small_side(stored(pairs, "rarest"))
-    hits = index.postings.join(rare.select("pair", "term"), "term").select(*KEY, "pair", "pos").distinct()
-    wanted = hits.join(rare.select("pair", F.col("term2").alias("term"), (F.col("offset2") - F.col("offset")).alias("apart")), "pair")
-    wanted = wanted.select(*KEY, "pair", "pos", "term", (F.col("pos") + F.col("apart")).alias("at"))
-    # where the second term may be lies in one block of positions or two; a block's positions are a bit mask
+    pairs = rarest_terms(index, terms, window, near)
+    # terms of pairs go by a number from here on, which is shorter than the word in every shuffle
+    words = pairs.select(F.explode(F.array("term", "term2")).alias("term")).distinct()
+    numbers = stored(words.withColumn("word", F.monotonically_increasing_id()), "numbers")
+    pairs = pairs.join(numbers.withColumnsRenamed({"word": "word1"}), "term")
+    pairs = pairs.join(numbers.withColumnsRenamed({"term": "term2", "word": "word2"}), "term2")
+    pairs = pairs.select("item", "offset", "word1", "offset2", "word2", "low", "high")
+    rare = small_side(stored(pairs.withColumn("pair", F.monotonically_increasing_id()), "rarest"))
+    apart = F.col("offset2") - F.col("offset")
+    # every first word's positions meet the pairs once a text, however often the text repeats
+    firsts = _blocks(index, numbers, rare, "word1").withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit((1 << BLOCK_BITS) - 1))))
+    firsts = firsts.where(_has("mask", F.col("bit"))).select(*KEY, "word1", (F.shiftleft("block", BLOCK_BITS) + F.col("bit")).alias("pos"))
+    wanted = firsts.join(rare.select("pair", "word1", "word2", apart.alias("apart")), "word1")
+    wanted = wanted.select(*KEY, "pair", "word2", (F.col("pos") + F.col("apart")).alias("at"))
+    # where the second word may be lies in one block of positions or two
     first, last = F.shiftright(F.col("at") - reach, BLOCK_BITS), F.shiftright(F.col("at") + reach, BLOCK_BITS)
     wanted = wanted.withColumn("block", F.explode(F.sequence(first, last)) if reach else first)
-    second = small_side(stored(rare.select(F.col("term2").alias("term")).distinct(), "second"))
-    bit = F.expr(f"shiftleft(1, pos & {(1 << BLOCK_BITS) - 1})")
-    blocks = index.postings.join(second, "term", "left_semi").groupBy(*KEY, "term", F.shiftright("pos", BLOCK_BITS).alias("block"))
-    blocks = blocks.agg(F.bit_or(bit).alias("mask"))
-    met = wanted.join(blocks, [*KEY, "term", "block"]).select(*KEY, "pair", "pos", "at", "block", "mask")
+    met = wanted.join(_blocks(index, numbers, rare, "word2"), [*KEY, "word2", "block"]).select(*KEY, "pair", "at", "block", "mask")
     met = met.withColumn("other", _around(F.col("at"), reach) if reach else F.col("at"))
-    there = (F.shiftright("other", BLOCK_BITS) == F.col("block")) & F.expr(f"(shiftright(mask, other & {(1 << BLOCK_BITS) - 1}) & 1) = 1")
-    both = met.where(there).join(rare, "pair").withColumn("start", F.col("pos") - F.col("offset"))
+    there = (F.shiftright("other", BLOCK_BITS) == F.col("block")) & _has("mask", F.col("other"))
+    # the first word stands as far before `at` as its place before the second's, so the item starts here
+    both = met.where(there).join(rare, "pair").withColumn("start", F.col("at") - F.col("offset2"))
     if reach:
         other = F.col("other") - F.col("offset2")
         starts = F.sequence(F.greatest("start", other) - near.slack, F.least("start", other) + near.slack)
