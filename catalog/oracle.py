@@ -187,6 +187,12 @@ ORACLE: dict[str, str] = {
                cast(cast(value as decimal(12,2)) as double) as wert, cast(user_id as varchar) as fallnummer,
                case when event_type <> 'error' then 'say "' || event_type || '"; \\' end as text
         from events"""),
+    "scan_multiline": _sql("""
+        select event_id as zeile,
+               case when event_type <> 'error'
+                    then 'say "' || event_type || '";' || chr(10) || chr(10) || user_id || chr(10) || 'end'
+                    else 'Süd ' || event_type end as text
+        from events"""),
     "parse_decimal_comma": f"with {NUMBER_TEXTS} select event_id, comma_number as number from number_texts",
     "cast_numeric": f"with {NUMBER_TEXTS} select event_id, point_number as number from number_texts",
     "cast_all_numeric": f"""with {NUMBER_TEXTS}
@@ -245,6 +251,9 @@ ORACLE: dict[str, str] = {
         from fx_cls group by category"""),
     # Patient-days.
     "filter_valid_stays": _sql("select pid, case_id, ward, ord, begin_day, end_day from valid"),
+    "long_stays": _sql("""
+        select pid, case_id, ward, ord, begin_day, end_day, datediff('day', begin_day, end_day) + 1 as days
+        from valid where datediff('day', begin_day, end_day) >= 5"""),
     "expand_patient_days": _sql("select pid, case_id, ward, ord, tag from expanded"),
     "dedupe_patient_days": _sql("select pid, case_id, ward, ord, tag from master"),
     "join_classifications": _sql(f"select {_DAY_KEYS}, code_own as code, iso from joined"),

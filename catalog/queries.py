@@ -82,6 +82,24 @@ def scan_delimited(spark, sf_dir):
     )
 
 
+@register
+def scan_multiline(spark, sf_dir):
+    """A file of all events with line breaks, separators and doubled quotes inside quotes, split by Spark."""
+    folder = scratch(spark, "scan_multiline")
+    kind = F.col("event_type")
+    text = F.concat(F.lit('say "'), kind, F.lit('";\n\n'), F.col("user_id").cast("string"), F.lit("\nend"))
+    written = table(spark, sf_dir, "events").select(
+        F.when(kind != "error", text).otherwise(F.concat(F.lit("Süd "), kind)).alias("Text"),
+        F.col("event_id").alias("Zeile"),
+    )
+    written.write.mode("overwrite").csv(
+        folder, sep=";", header=True, encoding="ISO-8859-1", escape='"'
+    )
+    return scan_file(spark, folder, "ISO-8859-1", multiline=True).select(
+        F.col("Zeile").cast("bigint").alias("zeile"), F.col("Text").alias("text")
+    )
+
+
 def _number_texts(spark, sf_dir):
     """Texts with comma or point decimals, grouped thousands, no number, nothing."""
     kind = F.col("event_type")
@@ -267,6 +285,13 @@ def filter_valid_stays(spark, sf_dir):
     return with_ids(staffing(spark, sf_dir).valid_stays)
 
 
+@register
+def long_stays(spark, sf_dir):
+    """Admitted stays of more than five days."""
+    run = Staffing(load_inputs(spark, sf_dir), Settings(long_stay_days=5))
+    return run.long_stays()
+
+
 @register
 def expand_patient_days(spark, sf_dir):
     spans = staffing(spark, sf_dir).valid_stays

@@ -68,8 +68,18 @@ def visible_spans(df: DataFrame, key: str, begin: str, end: str, order: str) ->
 
 
 def expand_days(df: DataFrame, begin: str, end: str, out: str = "tag") -> DataFrame:
-    """One row per calendar day of a span, both ends included."""
+    """One row per calendar day of a span, both ends included.
+
+    Spans become months and months become days, so no array holds the days of a whole span.
+    """
     kept = [name for name in df.columns if name not in (begin, end)]
-    return forward_spans(df, begin, end).select(
-        *kept, F.explode(F.sequence(F.col(begin), F.col(end))).alias(out)
-    )
+    first = F.sequence(F.trunc(begin, "month"), F.col(end), F.expr("interval 1 month"))
+    months = forward_spans(df, begin, end).select(*df.columns, F.explode(first).alias("span_month"))
+    days = F.sequence(F.greatest(begin, "span_month"), F.least(F.col(end), F.last_day("span_month")))
+    return months.select(*kept, F.explode(days).alias(out))
+
+
+def long_spans(df: DataFrame, begin: str, end: str, days: int) -> DataFrame:
+    """Spans of more than that many days, both ends included, with their ``days``."""
+    length = F.date_diff(F.col(end), F.col(begin)) + 1
+    return df.filter(length > days).withColumn("days", length)

@@ -14,6 +14,7 @@ from pflegetakt.operators.lookups import rate_lists, rate_lookup
 from pflegetakt.operators.rows import (
     expand_days,
     forward_spans,
+    long_spans,
     match_prefix,
     reversed_spans,
     visible_spans,
@@ -54,8 +55,16 @@ def admitted_stays(stays: DataFrame, settings: Settings) -> DataFrame:
 
 
 def valid_stays(stays: DataFrame, settings: Settings) -> DataFrame:
-    """Stays that count: on a ward, admitted in the period, ended, not reversed."""
-    return forward_spans(admitted_stays(stays, settings), "begin_day", "end_day")
+    """Stays that count: on a ward, admitted in the period, ended, not reversed, not too long if that matters."""
+    ended = forward_spans(admitted_stays(stays, settings), "begin_day", "end_day")
+    if settings.count_long_stays:
+        return ended
+    return ended.filter(F.date_diff("end_day", "begin_day") < settings.long_stay_days)
+
+
+def long_stays(stays: DataFrame, settings: Settings) -> DataFrame:
+    """Admitted stays of an unlikely length; whether they count is a setting."""
+    return long_spans(admitted_stays(stays, settings), "begin_day", "end_day", settings.long_stay_days)
 
 
 def rejected_stays(stays: DataFrame, settings: Settings) -> DataFrame:

@@ -23,17 +23,35 @@ def monthly_shifts(ward_days: DataFrame, settings: Settings) -> DataFrame:
     """Day and night rows per ward and month.
 
     Both shifts are aggregated in one pass and then unfolded, which equals the
-    union of a day and a night aggregate without reading ward-days twice.
+    union of a day and a night aggregate without reading ward-days twice. Distinct
+    days are bits of a calendar month, so they need no shuffle of their own; months
+    of different years meet in the second, small aggregate.
     """
-    nights = F.col("Patienten_mitternacht")
-    both = ward_days.groupBy("Station2", *_months(settings)).agg(
-        F.count_distinct("Tag").alias("Anzahl_Schichten"),
-        strict_sum(F.col("Patiententage")).alias("day_patients"),
-        F.avg("Patiententage").alias("day_mean"),
-        strict_sum(F.col("VK_tag")).alias("day_vk"),
-        strict_sum(nights).alias("night_patients"),
-        F.avg(nights).alias("night_mean"),
-        strict_sum(F.col("VK_nacht")).alias("night_vk"),
+    values = {
+        "day_patients": F.col("Patiententage"),
+        "day_vk": F.col("VK_tag"),
+        "night_patients": F.col("Patienten_mitternacht"),
+        "night_vk": F.col("VK_nacht"),
+    }
+    day = F.call_function("shiftleft", F.lit(1), F.dayofmonth("Tag") - 1)
+    calendar = ward_days.groupBy("Station2", F.year("Tag").alias("Jahr"), F.month("Tag").alias("Monat")).agg(
+        F.bit_or(day).alias("days"),
+        F.count(F.lit(1)).alias("n"),
+        *[F.sum(value).alias(name) for name, value in values.items()],
+        *[F.count(value).alias(f"{name}_n") for name, value in values.items()],
+    )
+
+    def total(name: str) -> Column:
+        """Missing as soon as one ward-day lacks the value."""
+        return F.when(F.sum(f"{name}_n") == F.sum("n"), F.sum(name))
+
+    def mean(name: str) -> Column:
+        return F.try_divide(F.sum(name), F.sum(f"{name}_n"))
+
+    both = calendar.groupBy("Station2", *_month_names(settings)).agg(
+        F.sum(F.bit_count("days")).alias("Anzahl_Schichten"),
+        *[total(name).alias(name) for name in values],
+        *[mean(f"{shift}_patients").alias(f"{shift}_mean") for shift in ("day", "night")],
     )
 
     def shift(rank: int, label: str, prefix: str) -> Column:

@@ -163,6 +163,9 @@ class Staffing:
             patient_days.rejected_stays(self.inputs.stays, self.settings)
         )
 
+    def long_stays(self) -> DataFrame:
+        return patient_days.with_ids(patient_days.long_stays(self.inputs.stays, self.settings))
+
     def newborn_checks(self) -> DataFrame:
         return workload.newborn_checks(self.inputs.newborns)
 

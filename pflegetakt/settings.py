@@ -49,6 +49,10 @@ class Settings:
     day_label: str = "Tag"
     night_label: str = "Nacht"
 
+    # Stays of more days are reported; they count unless the second is off.
+    long_stay_days: int = 3650
+    count_long_stays: bool = True
+
     # Two texts of one day count as two classifications unless this is off.
     dedupe_by_text: bool = True
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pflegetakt.functions.dates import parse_clock, parse_moment_day
 from pflegetakt.functions.numbers import all_to_number, parse_decimal_comma
 from pflegetakt.schemas import require
+from pflegetakt.sources.records import quoted_records
 
 # Column headers of the input files.
 CLASSIFICATION_COLUMNS = {
@@ -70,18 +71,20 @@ def scan_delimited(
 
     Quotes inside quoted values are doubled; a backslash is text. Spark appends the
     position to repeated headers. ``with_order`` adds ``ord``. ``multiline`` accepts
-    line breaks inside quotes; each file is then read by one task.
+    line breaks inside quoted values (not in headers); files stay splittable.
     """
-    read = spark.read.csv(
-        path,
-        sep=";",
-        header=True,
-        encoding=encoding,
-        nullValue="NA",
-        escape='"',
-        multiLine=multiline,
-    )
-    known = [F.nullif(F.col(f"`{name}`"), F.lit("")).alias(name) for name in read.columns]
+    layout = {"sep": ";", "nullValue": "NA", "escape": '"'}
+    read = spark.read.csv(path, header=True, encoding=encoding, **layout)
+    names = read.columns
+    if multiline:
+        records = quoted_records(spark, path, encoding).filter((F.col("block") > 0) | (F.col("row") > 1))
+        schema = ", ".join(f"c{i} string" for i in range(len(names)))
+        values = F.from_csv("record", schema, {**layout, "multiLine": "true"})
+        read = records.select(F.struct("path", "block", "row").alias("ord"), values.alias("v"))
+        read = read.select(*[F.col(f"v.c{i}").alias(name) for i, name in enumerate(names)], "ord")
+    known = [F.nullif(F.col(f"`{name}`"), F.lit("")).alias(name) for name in names]
+    if multiline:
+        return read.select(*known, *(["ord"] if with_order else []))
     if not with_order:
         return read.select(*known)
     place = F.struct(
@@ -98,9 +101,9 @@ def _named(table: str, rows: DataFrame, columns: dict[str, str]) -> list[Column]
 
 
 def read_classifications(
-    spark: SparkSession, path: str, encoding: str = "UTF-8", extras: bool = False
+    spark: SparkSession, path: str, encoding: str = "UTF-8", extras: bool = False, multiline: bool = False
 ) -> DataFrame:
-    rows = scan_delimited(spark, path, encoding, with_order=True)
+    rows = scan_delimited(spark, path, encoding, with_order=True, multiline=multiline)
     columns = [
         F.col(f"`{rows.columns[0]}`").alias("category"),
         *_named("classifications", rows, CLASSIFICATION_COLUMNS),
@@ -117,8 +120,10 @@ def read_classifications(
     )
 
 
-def read_stays(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    rows = scan_delimited(spark, path, encoding, with_order=True)
+def read_stays(
+    spark: SparkSession, path: str, encoding: str = "UTF-8", multiline: bool = False
+) -> DataFrame:
+    rows = scan_delimited(spark, path, encoding, with_order=True, multiline=multiline)
     headers = [name for name in rows.columns if name != "ord"]
     if len(headers) < STAY_WARD_POSITION:
         require("stays", headers, [f"number {STAY_WARD_POSITION} (ward)"])

@@ -54,6 +54,7 @@ def export_reports(
         "check_stays": staffing.stay_checks(),
         "check_newborns": staffing.newborn_checks(),
         "rejected_stays": staffing.rejected_stays().drop("ord"),
+        "long_stays": staffing.long_stays().drop("ord"),
         "rejected_newborns": staffing.rejected_newborns(),
         "split_wards": staffing.split_wards(),
     }

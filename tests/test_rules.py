@@ -1,11 +1,13 @@
 """Small cases with exact results: missing values, row order, dates, wards."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from hospital import RATES, WARD_ROWS, classified, hospital, rows, stay
+from pflegetakt import Settings
 from pflegetakt.functions.dates import parse_clock, parse_day, parse_moment_day
 from pflegetakt.functions.missing import if_known, key_text, key_value, strict_mean, strict_sum
 from pflegetakt.functions.numbers import all_to_number, parse_decimal_comma, to_number
@@ -181,6 +183,7 @@ def test_stays_that_do_not_count(spark):
     assert rows(patient_days.with_ids(run.valid_stays), "pid") == [("e",)]
     assert rows(run.rejected_stays(), "pid") == [("d",)]
     assert rows(run.stay_checks(), "counted", "open", "reversed", "without_begin") == [(1, 1, 1, 1)]
+    assert run.long_stays().count() == 0
     everything = hospital(
         spark,
         [
@@ -574,3 +577,36 @@ def test_numbers_too_large_for_a_double_are_missing(spark):
     texts = spark.createDataFrame([("1e400",), ("-1e400",), ("1e300",)], "t string")
     got = texts.select(to_number(F.col("t")).alias("n"), parse_decimal_comma(F.col("t")).alias("m")).collect()
     assert [tuple(r) for r in got] == [(None, None), (None, None), (1e300, 1e300)]
+
+
+def test_a_stay_of_200_years_is_reported_and_counts_unless_forbidden(spark):
+    stays = [stay("a", "a", "IN1", "2024-02-28", "2223-02-27", 1), stay("b", "b", "IN1", "2024-01-31", "2024-03-01", 2)]
+    run = hospital(spark, stays)
+    assert rows(run.long_stays(), "pid", "days") == [("a", (dt.date(2223, 2, 27) - dt.date(2024, 2, 28)).days + 1)]
+    days = run.master_days.groupBy("pid_key").agg(F.count_distinct("tag").alias("n"), F.count("tag").alias("rows"))
+    assert rows(days, "n", "rows", order=["pid_key"]) == [(72683, 72683), (31, 31)]
+    assert rows(hospital(spark, stays, count_long_stays=False).master_days.groupBy("pid_key").count(), "count") == [(31,)]
+
+
+def test_distinct_days_over_years_and_split_wards(spark):
+    """Days as bits of calendar months equal a distinct count, with repeated ward-days and missing values."""
+    rng = random.Random(3)
+    days = [dt.date(2023, 12, 30) + dt.timedelta(days=rng.randrange(430)) for _ in range(600)]
+    kinds = [(rng.choice("ab"), d, rng.randrange(9), rng.choice([1.0, 2.5]), rng.choice([0, 3, 4])) for d in days]
+    kinds.append(("c", dt.date(2024, 5, 31), 1, None, None))
+    frame = spark.createDataFrame(
+        kinds, "Station2 string, Tag date, Patiententage long, VK_tag double, Patienten_mitternacht long"
+    ).withColumn("VK_nacht", F.col("VK_tag") / 2)
+    for by_year in (False, True):
+        keys = ["Station2", *([F.year("Tag").alias("Jahr")] if by_year else []), F.month("Tag").alias("Monat")]
+        names = ["Station2", "Jahr", "Monat"] if by_year else ["Station2", "Monat"]
+        shifts = reports.monthly_shifts(frame, Settings(by_year=by_year)).filter("Schicht = 'Tag'")
+        assert "distinct" not in shifts._jdf.queryExecution().executedPlan().toString().lower()
+        plain = frame.groupBy(*keys).agg(
+            F.count_distinct("Tag"), F.sum("Patiententage"), F.round(F.avg("Patiententage"), 9),
+            F.when(F.count("VK_tag") == F.count(F.lit(1)), F.round(F.try_divide(F.sum("VK_tag"), F.count_distinct("Tag")), 9)),
+        )
+        mean, vk = F.round("durchschnittliche_Patientenbelegung", 9), F.round("VK", 9)
+        got = shifts.select(*names, "Anzahl_Schichten", "Anzahl_Patienten", mean, vk)
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+        assert got.filter("Station2 = 'c'").first()[-1] is None

@@ -1,7 +1,10 @@
 """Delimited files in, report folders out."""
 
+import csv
 import datetime as dt
+import io
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +14,7 @@ from pflegetakt import Inputs, Staffing
 from pflegetakt.schemas import MissingColumns
 from pflegetakt.sources import delimited
 from pflegetakt.sources.export import export_reports, read_report, run_folder
+from pflegetakt.sources.records import numbered_lines, quoted_records
 
 STAYS = (
     "PID;Fallnummer;a;b;c;Station;Aufenthaltsbeginn;Aufenthaltsende;Station;d\n"
@@ -165,7 +169,7 @@ def test_export(spark, tmp_path):
     for _ in range(2):  # a second run replaces the first
         export_reports(spark, run, folder, controls=True)
     names = {"ppr_ergebnis", "ppr_bericht", "fehlende_daten", "personalbedarf_station_monat", "Steuerung", "Nachtdienst"}
-    checks = {"check_stays", "check_newborns", "rejected_stays", "rejected_newborns", "split_wards"}
+    checks = {"check_stays", "check_newborns", "rejected_stays", "long_stays", "rejected_newborns", "split_wards"}
     assert set(os.listdir(folder)) == names | checks
     for name in names | checks:
         stored = read_report(spark, folder, name)
@@ -193,6 +197,45 @@ def test_line_breaks_inside_quotes(spark, tmp_path):
     assert [(r.a, r.b) for r in read] == [("one\ntwo", "1"), ("three", "2")]
 
 
+def messy_records(seed, number):
+    rng = random.Random(seed)
+    parts = ["a", "ä", "; ", "\n", "\n\n", '"', "x" * 30, "\\"]
+    return [["".join(rng.choice(parts) for _ in range(rng.randrange(7))), f"z{i}"] for i in range(number)]
+
+
+@pytest.mark.parametrize("seed,split", [(1, 64), (2, 300), (3, 1_000_000)])
+def test_records_with_line_breaks_do_not_depend_on_splits(spark, tmp_path, seed, split):
+    """Blocks that begin inside quotes, and records of several blocks."""
+    written = messy_records(seed, 150)
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for part in range(2):
+        text = io.StringIO()
+        csv.writer(text, delimiter=";", lineterminator="\n").writerows([["t", "n"], *written[part::2]])
+        write(folder, f"part{part}.csv", text.getvalue(), "latin-1")
+    expected = [(t or None, n) for part in range(2) for t, n in written[part::2]]
+    usual = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        read = delimited.scan_delimited(spark, str(folder), "ISO-8859-1", with_order=True, multiline=True)
+        blocks = numbered_lines(spark, str(folder)).select("path", "block").distinct().count()
+        got = [(r.t, r.n) for r in read.orderBy("ord").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
+    assert got == expected
+    assert blocks == 2 if split == 1_000_000 else blocks > 10
+
+
+def test_line_ends_empty_files_and_open_quotes(spark, tmp_path):
+    path = write(tmp_path, "crlf.csv", 'a;b\r\n"one\ntwo";1\r\n\r\n"";2\r\n')
+    read = delimited.scan_delimited(spark, path, with_order=True, multiline=True).orderBy("ord").collect()
+    assert [(r.a, r.b) for r in read] == [("one\ntwo", "1"), (None, "2")]
+    assert delimited.scan_delimited(spark, write(tmp_path, "none.csv", "a;b\n"), multiline=True).count() == 0
+    text = 'a;b\n"never closed;1\n' + "x;2\n" * 30
+    with pytest.raises(Exception, match="a quote is not closed"):
+        quoted_records(spark, write(tmp_path, "open.csv", text), most_lines=20).collect()
+
+
 def test_quoted_ward_does_not_count(spark, tmp_path):
     text = STAYS.replace("02.02.2024 08:00;NA;x", '02.02.2024 08:00;"";x')
     assert text != STAYS
