@@ -25,35 +25,47 @@ BUCKETS = 2048
 SHAPES = 8
 
 
-def text_features(text: str | None, known: dict[str, int]) -> tuple[int, np.ndarray, np.ndarray]:
+LATIN = [chr(i) for i in range(256)]
+LOWERED = bytes(ord(c.lower()) for c in LATIN)
+NO_LETTERS = bytes(i for i, c in enumerate(LATIN) if not c.isalpha() and c != "\n")
+
+
+def _letters(lines: str) -> bytes:
+    """The lower-cased letters of every line, in UTF-8; lines stay lines."""
+    try:
+        return lines.encode("latin-1").translate(LOWERED, NO_LETTERS).decode("latin-1").encode()
+    except UnicodeEncodeError:
+        cores = (w if w.isalpha() else "".join(filter(str.isalpha, w)) for w in lines.split("\n"))
+        return "\n".join(cores).lower().encode()
+
+
+def text_features(text: str | None) -> tuple[int, np.ndarray, np.ndarray]:
     """(tokens, feature numbers, values): hashed words, log-scaled to unit length, and shapes.
 
     Shapes: an always-on one, shares of upper-case, of decorated and of cut-off words, and of
-    repeated ones. Null and empty texts have only the always-on feature.
+    repeated ones. Null and empty texts have only the always-on feature. All different words of a
+    text are cleaned at once: no table of words grows with the corpus.
     """
     words = text.split() if text else []
     counts = Counter(words)
-    if len(known) > 500_000:
-        known.clear()
-    at: dict[int, float] = {}
-    for word, n in counts.items():
-        bucket = known.get(word)
-        if bucket is None:
-            core = "".join(c for c in word if c.isalpha()).lower()
-            bucket = known[word] = zlib.crc32(core.encode()) % BUCKETS
-        at[bucket] = at.get(bucket, 0) + n
-    index = np.fromiter(at.keys(), np.int64, len(at))
-    value = np.log1p(np.fromiter(at.values(), np.float64, len(at)))
+    times = np.fromiter(counts.values(), np.float64, len(counts))
+    cores = _letters("\n".join(counts)).split(b"\n") if counts else []
+    bucket = np.fromiter(map(zlib.crc32, cores), np.int64, len(counts)) % BUCKETS
+    total = np.bincount(bucket, times, BUCKETS)
+    index = np.flatnonzero(total)
+    value = np.log1p(total[index])
     value /= np.sqrt((value**2).sum()) + 1e-9
     n = max(len(words), 1)
+    odd = [w for w in counts if not w.isalpha()]
+    unended = [w for w in odd if not w[-1].isalnum()]
     shapes = np.asarray(
         [
             1.0,
-            sum(k for w, k in counts.items() if w.isupper()) / n,
-            sum(k for w, k in counts.items() if not w[-1].isalnum() and w[-1] not in ".,;:") / n,
-            sum(k for w, k in counts.items() if not any(map(str.isalnum, w))) / n,
+            float(times @ np.fromiter(map(str.isupper, counts), np.float64, len(counts))) / n,
+            sum(counts[w] for w in unended if w[-1] not in ".,;:") / n,
+            sum(counts[w] for w in unended if not any(map(str.isalnum, w))) / n,
             1 - len(counts) / n,
-            sum(k for w, k in counts.items() if w[0].isdigit()) / n,
+            sum(counts[w] for w in odd if w[0].isdigit()) / n,
             min(np.log1p(len(words)) / 10, 2.0),
             0.0,
         ]
@@ -85,9 +97,8 @@ def fit_domains(labelled: DataFrame, text_col: str, domain_col: str, id_col: str
     own = bounded_sample(own, sample, "id", "text")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
         for batch in batches:
-            found = [text_features(t.as_py(), known) for t in batch.column(1)]
+            found = [text_features(t.as_py()) for t in batch.column(1)]
             arrays = [batch.column(0), pa.array([i for _, i, _ in found], pa.list_(pa.int64())), pa.array([v for _, _, v in found], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(arrays, ["domain", "at", "value"])
 
@@ -107,8 +118,8 @@ def fit_domains(labelled: DataFrame, text_col: str, domain_col: str, id_col: str
     return DomainModel(domains, w)
 
 
-def _posteriors(weights: np.ndarray, known: dict[str, int], text: str | None) -> tuple[int, np.ndarray]:
-    n, at, value = text_features(text, known)
+def _posteriors(weights: np.ndarray, text: str | None) -> tuple[int, np.ndarray]:
+    n, at, value = text_features(text)
     return n, _softmax(value @ weights[at])
 
 
@@ -119,12 +130,11 @@ def predict_domains(df: DataFrame, model: DomainModel, keep: list[str], text_col
     kept = [f for f in own.schema.fields if f.name != "_text"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
         weights = shared().weights.astype(np.float64)
         for batch in batches:
             tokens, posteriors = [], []
             for text in batch.column(batch.num_columns - 1):
-                n, posterior = _posteriors(weights, known, text.as_py())
+                n, posterior = _posteriors(weights, text.as_py())
                 tokens.append(n)
                 posteriors.append(posterior)
             arrays = [*batch.columns[:-1], pa.array(tokens, pa.int64()), pa.array(posteriors, pa.list_(pa.float64()))]
@@ -247,10 +257,9 @@ def repeat_by_rate(df: DataFrame, model: DomainModel, mix: Mix, id_col: str, tex
     )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
         weights = shared().weights.astype(np.float64)
         for batch in batches:
-            found = [_posteriors(weights, known, text.as_py())[1] for text in batch.column("text")]
+            found = [_posteriors(weights, text.as_py())[1] for text in batch.column("text")]
             rates = plan.rates(np.asarray(found, np.float64).reshape(len(found), len(plan.domains)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rates)], [*batch.schema.names[:-1], "rate"])
 

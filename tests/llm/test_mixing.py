@@ -1,5 +1,8 @@
 """Rates against targets and a dense solver; domain posteriors; copies."""
 
+import random
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -49,6 +52,41 @@ def test_unreachable_targets_stay_nonnegative(spark):
     assert min(r["rate"] for r in mixing.with_rates(frame, mix, ["id"], ["id"]).collect()) >= 0
 
 
+def plain_features(text):
+    """Every word by itself."""
+    words = text.split()
+    n, at = max(len(words), 1), {}
+    for w in words:
+        bucket = zlib.crc32("".join(c for c in w if c.isalpha()).lower().encode()) % mixing.BUCKETS
+        at[bucket] = at.get(bucket, 0) + 1
+    value = np.log1p([at[b] for b in sorted(at)])
+    shapes = [
+        1,
+        sum(w.isupper() for w in words) / n,
+        sum(not w[-1].isalnum() and w[-1] not in ".,;:" for w in words) / n,
+        sum(not any(c.isalnum() for c in w) for w in words) / n,
+        1 - len(set(words)) / n,
+        sum(w[0].isdigit() for w in words) / n,
+        min(np.log1p(len(words)) / 10, 2.0),
+        0,
+    ]
+    return len(words), [*sorted(at), *range(mixing.BUCKETS, mixing.BUCKETS + 8)], [*value / (np.sqrt((value**2).sum()) + 1e-9), *shapes]
+
+
+def test_features_of_a_text_need_no_table_of_words():
+    """A text is cleaned as a whole, in Latin-1 or not; each word counts as if cleaned alone."""
+    rng = random.Random(3)
+    texts = ["", " \n", "ΑΣ1Β ΑΣ, Σ. x\u0301 ǅ; İ ẞ", "A A. B- 1a ² ٣ -- µ ª × a\x85b"]
+    for letters in ("aAß1².,;-_!ÄµªÜ×", "aAß1²٣.,;-_!\u0301Σǅ؟字"):
+        texts += [" ".join("".join(rng.choices(letters, k=rng.randrange(1, 5))) for _ in range(30)) for _ in range(50)]
+    for text in texts:
+        n, at, value = mixing.text_features(text)
+        plain = plain_features(text)
+        order = np.argsort(at)
+        assert n == plain[0] and at[order].tolist() == plain[1] and np.allclose(value[order], plain[2], rtol=1e-12)
+    assert mixing.text_features(None)[0] == 0
+
+
 def test_query(spark):
     sf_dir = "/root/testdata/sf0.01"
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
