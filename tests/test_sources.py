@@ -3,8 +3,12 @@
 import csv
 import datetime as dt
 import io
+import json
 import os
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -236,6 +240,58 @@ def test_line_ends_empty_files_and_open_quotes(spark, tmp_path):
         quoted_records(spark, write(tmp_path, "open.csv", text), most_lines=20).collect()
 
 
+READ = """
+import sys
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4")
+         .config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", sys.argv[2]).config("spark.eventLog.compress", "false")
+         .config("spark.driver.host", "127.0.0.1").getOrCreate())
+sys.path.insert(0, sys.argv[1])
+from pflegetakt.sources.delimited import scan_delimited
+read = scan_delimited(spark, sys.argv[3], multiline=True)
+print(tuple(read.agg(F.count("n"), F.sum("n"), F.sum(F.length("t"))).first()))
+"""
+
+
+def test_records_of_large_blocks_need_little_memory(tmp_path):
+    """One block of a million lines; its records are not sorted, shuffled or held, and tasks need no package."""
+    number = 250_000
+    folder = tmp_path / "log"
+    folder.mkdir()
+    path = write(tmp_path, "large.csv", "t;n\n" + "".join(f'"a\n""b"";\n\nc";{i}\n' for i in range(number)))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    repo = str(Path(__file__).resolve().parents[1])
+    done = subprocess.run([sys.executable, "-c", READ, repo, str(folder), path], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-3000:]
+    assert str((number, number * (number - 1) / 2, 9 * number)) in done.stdout
+    events = [json.loads(line) for log in folder.rglob("events*") if log.is_file() for line in log.open()]
+    metrics = [e["Task Metrics"] for e in events if e["Event"] == "SparkListenerTaskEnd"]
+    assert max(m["Peak Execution Memory"] for m in metrics) < 150e6
+    assert sum(m["Shuffle Write Metrics"]["Shuffle Bytes Written"] for m in metrics) < 1e5
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7])
+def test_records_do_not_depend_on_batches(spark, tmp_path, size):
+    """Records and blocks may end anywhere in a batch of lines; empty lines and open records at the end stay."""
+    rows = [(t, n) for t, n in messy_records(size, 60)]
+    text = io.StringIO()
+    csv.writer(text, delimiter=";", lineterminator="\n").writerows([["t", "n"], *rows])
+    path = write(tmp_path, "b.csv", text.getvalue() + '"open\n\n')
+    usual = {key: spark.conf.get(key) for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    for key, value in zip(usual, (211, size), strict=True):
+        spark.conf.set(key, value)
+    try:
+        read = delimited.scan_delimited(spark, path, with_order=True, multiline=True)
+        got = [(r.t, r.n) for r in read.orderBy("ord").collect()]
+        records = quoted_records(spark, path).orderBy("path", "block", "row").collect()
+    finally:
+        for key, value in usual.items():
+            spark.conf.set(key, value)
+    assert got[:-1] == [(t or None, n) for t, n in rows]
+    assert len(records) == len(rows) + 2 and records[-1].record == '"open\n'
+
+
 def test_quoted_ward_does_not_count(spark, tmp_path):
     text = STAYS.replace("02.02.2024 08:00;NA;x", '02.02.2024 08:00;"";x')
     assert text != STAYS
